@@ -1 +1 @@
-
+"""Readers and writers for telemetry, posture and saved results."""
