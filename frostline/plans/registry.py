@@ -298,7 +298,8 @@ _register(
 TIMING_SHAPE = (
     KEYS
     | exact("delay_min", "delay_big", "rpt_gap_min", "rcv_gap_min", "rpt_ooo", "delay_med_1h")
-    | rounded(["gap_err_min", "reported_ts_diff_min", "delay_std_1h"])
+    | exact("gap_err_min", "reported_ts_diff_min")
+    | rounded(["delay_std_1h"])
     | rounded(["delay_z", "rpt_gap_cv_5", "rcv_gap_cv_5"], 4)
 )
 SENSOR_SHAPE = KEYS | {
@@ -622,19 +623,28 @@ for _measure in S.POSTURE_MEASURES:
         oracle.DAYS,
         f'(SELECT * FROM deltas ORDER BY delta_{_measure} DESC, "Device_ID" LIMIT 5)',
     )
+# the combined chance is a product of two-digit decimals: it is compared at a
+# precision where such products are not half-way cases
+FOUND_SHAPE = (
+    exact(S.DEVICE)
+    | rounded(["cvss_mean"])
+    | exact("cvss_max")
+    | rounded(["epss_comb"], 14)
+    | exact("dvd")
+)
 _register(
     "posture_sample",
     lambda spark, sf_dir: rollups.posture_from_findings(fixture.findings(spark, sf_dir))
     .orderBy(S.DEVICE)
     .limit(10),
-    exact(S.DEVICE) | rounded(["cvss_mean"]) | exact("cvss_max") | rounded(["epss_comb"]) | exact("dvd"),
+    FOUND_SHAPE,
     oracle.FINDINGS,
     '(SELECT * FROM found ORDER BY "Device_ID" LIMIT 10)',
 )
 _register(
     "posture_from_findings",
     lambda spark, sf_dir: rollups.posture_from_findings(fixture.findings(spark, sf_dir)),
-    exact(S.DEVICE) | rounded(["cvss_mean"]) | exact("cvss_max") | rounded(["epss_comb"]) | exact("dvd"),
+    FOUND_SHAPE,
     oracle.FINDINGS,
     "found",
 )
@@ -657,7 +667,11 @@ def _posture_used(**options):
     return build
 
 
-_USED_SHAPE = exact(S.DEVICE, S.ROW_ID) | rounded(["cvss_used", "epss_used", "dvd_used"])
+_USED_SHAPE = (
+    exact(S.DEVICE, S.ROW_ID)
+    | rounded(["cvss_used", "dvd_used"])
+    | rounded(["epss_used"], 14)
+)
 
 
 def _used_sql(cvss: str) -> str:
