@@ -210,9 +210,9 @@ def classification_report(
     rolled = classes.rollup("label").agg(
         F.grouping_id().alias("total"),
         F.sum("actual").alias("support"),
-        (F.sum("hit") / F.sum("actual")).alias("accuracy"),
+        F.expr("sum(hit) / nullif(sum(actual), 0)").alias("accuracy"),
         *[F.avg(m).alias(m) for m in measures],
-        *[(F.sum(F.col(m) * F.col("actual")) / F.sum("actual")).alias(f"w_{m}") for m in measures],
+        *[F.expr(f"sum({m} * actual) / nullif(sum(actual), 0)").alias(f"w_{m}") for m in measures],
     )
     rows = rolled.select(
         F.expr(
