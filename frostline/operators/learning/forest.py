@@ -13,7 +13,7 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline import settings as S
@@ -22,7 +22,11 @@ from frostline.operators.learning.matrix import Scaling
 from frostline.operators.series import DEFAULT_SPLIT, lay_out
 from frostline.operators.storage import materialise
 
-_NODES = "tree int, node int, feature int, cut double, left int, right int, length double"
+# nodes are numbered as in a heap: the children of i are 2i + 1 and 2i + 2
+_NODES = "tree int, node int, depth int, feature int, cut double, length double"
+
+# rows scored at once inside a batch, so that the working arrays stay in cache
+_BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -42,43 +46,87 @@ def mean_path(n: float) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def _max_depth(sample: int) -> int:
+    return ceil(log2(max(sample, 2)))
+
+
 def _grow(points: np.ndarray, max_depth: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes of one random tree: (node, feature, cut, left, right, length)."""
+    """Nodes of one random tree: (node, depth, feature, cut, path length); a
+    leaf has feature -1."""
     nodes: list[tuple] = []
-    waiting = [(0, points, 0)]
-    next_id = 1
+    waiting = [(0, 0, points)]
     while waiting:
-        node, rows, depth = waiting.pop()
+        node, depth, rows = waiting.pop()
         low, high = rows.min(axis=0), rows.max(axis=0)
         varying = np.flatnonzero(high > low)
         if depth >= max_depth or len(rows) <= 1 or not len(varying):
-            nodes.append((node, -1, 0.0, -1, -1, depth + mean_path(len(rows))))
+            nodes.append((node, depth, -1, 0.0, depth + mean_path(len(rows))))
             continue
         feature = int(rng.choice(varying))
         cut = float(rng.uniform(low[feature], high[feature]))
         left = rows[:, feature] <= cut
-        nodes.append((node, feature, cut, next_id, next_id + 1, 0.0))
-        waiting += [(next_id, rows[left], depth + 1), (next_id + 1, rows[~left], depth + 1)]
-        next_id += 2
+        nodes.append((node, depth, feature, cut, 0.0))
+        waiting.append((2 * node + 1, depth + 1, rows[left]))
+        waiting.append((2 * node + 2, depth + 1, rows[~left]))
     return nodes
 
 
+def _walk_table(nodes: pd.DataFrame, depth: int) -> tuple[np.ndarray, ...]:
+    """Per tree the full heap of cuts, and path lengths by deepest slot. Below a
+    leaf every step goes left, so all walks take the same number of steps."""
+    trees = int(nodes["tree"].max()) + 1
+    feature = np.zeros((trees, 2**depth - 1), dtype=np.int32)
+    cut = np.full(feature.shape, np.inf)
+    length = np.zeros((trees, 2**depth))
+    inner = nodes[nodes["feature"] >= 0]
+    feature[inner["tree"], inner["node"]] = inner["feature"]
+    cut[inner["tree"], inner["node"]] = inner["cut"]
+    leaf = nodes[nodes["feature"] < 0]
+    first = leaf["node"] - (2 ** leaf["depth"] - 1)
+    length[leaf["tree"], first * 2 ** (depth - leaf["depth"])] = leaf["length"]
+    return feature, cut, length
+
+
+def _mean_depths(x: np.ndarray, table: tuple[np.ndarray, ...], depth: int) -> np.ndarray:
+    feature, cut, length = table
+    trees = len(feature)
+    tree = np.arange(trees)
+    out = np.empty(len(x))
+    for start in range(0, len(x), _BLOCK):
+        block = x[start : start + _BLOCK]
+        row = np.arange(len(block))[:, None]
+        at = np.zeros((len(block), trees), dtype=np.int64)
+        for _ in range(depth):
+            value = block[row, feature[tree, at]]
+            at = 2 * at + 1 + (value > cut[tree, at])
+        slots = at - (2**depth - 1)
+        out[start : start + _BLOCK] = length[tree, slots].mean(axis=1)
+    return out
+
+
 def _tree_samples(
     rows: DataFrame, columns: Sequence[str], total: int, order_by: str, policy: ForestPolicy
 ) -> DataFrame:
-    """Per tree its own ``sample`` distinct rows, chosen by seeded hashes. On a
-    large table a first hash keeps only some four times as many rows as all
-    trees use together."""
+    """Per tree its own ``sample`` distinct rows, those with the lowest seeded
+    hashes. Rows, then (row, tree) pairs that cannot be among them are dropped
+    before the sort: about four times as many as needed stay."""
     wanted = policy.trees * policy.sample * 4
-    if total > wanted:
-        buckets = total // wanted
-        pick = F.pmod(F.xxhash64(order_by, F.lit(policy.seed)), F.lit(buckets)) == 0
-        rows = rows.where(pick)
-    draws = rows.select(
-        *columns,
-        order_by,
-        F.explode(F.sequence(F.lit(0), F.lit(policy.trees - 1))).alias("tree"),
-    ).withColumn("_draw", F.xxhash64(order_by, "tree", F.lit(policy.seed + 1)))
+    row_share = max(1, total // wanted)
+    pair_share = max(1, min(total, wanted) // (policy.sample * 4))
+
+    def one_in(share: int, *key) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(share)) == 0
+
+    draws = (
+        rows.where(one_in(row_share, order_by, F.lit(policy.seed)))
+        .select(
+            *columns,
+            order_by,
+            F.explode(F.sequence(F.lit(0), F.lit(policy.trees - 1))).alias("tree"),
+        )
+        .where(one_in(pair_share, order_by, "tree", F.lit(policy.seed + 1)))
+        .withColumn("_draw", F.xxhash64(order_by, "tree", F.lit(policy.seed + 2)))
+    )
     place = Window.partitionBy("tree").orderBy("_draw", order_by)
     return draws.withColumn("_place", F.row_number().over(place)).where(
         F.col("_place") <= policy.sample
@@ -96,31 +144,16 @@ class IsolationForest:
         """Adds the anomaly score: near 1 for rows that are easy to isolate."""
         features = [f"z_{f}" for f in self.scaling.mean]
         scaled = self.scaling.apply(df)
-        spark = df.sparkSession
-        trees = spark.sparkContext.broadcast(
-            [
-                tuple(t.sort_values("node")[c].to_numpy() for c in ("feature", "cut", "left", "right", "length"))
-                for _, t in self.nodes.groupby("tree")
-            ]
-        )
+        depth = _max_depth(self.sample)
+        table = df.sparkSession.sparkContext.broadcast(_walk_table(self.nodes, depth))
         usual = mean_path(self.sample) or 1.0
 
         @F.pandas_udf("double")
         def isolate(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for batch in batches:
                 x = np.column_stack([c.to_numpy(dtype=float) for c in batch])
-                rows = np.arange(len(x))
-                depth = np.zeros(len(x))
-                for feature, cut, left, right, length in trees.value:
-                    at = np.zeros(len(x), dtype=np.int64)
-                    inner = feature[at] >= 0
-                    while inner.any():
-                        here, row = at[inner], rows[inner]
-                        goes_left = x[row, feature[here]] <= cut[here]
-                        at[inner] = np.where(goes_left, left[here], right[here])
-                        inner = feature[at] >= 0
-                    depth += length[at]
-                yield pd.Series(np.power(2.0, -depth / len(trees.value) / usual))
+                depths = _mean_depths(x, table.value, depth)
+                yield pd.Series(np.power(2.0, -depths / usual))
 
         return scaled.withColumn(output, isolate(*features)).drop(*features)
 
@@ -166,7 +199,7 @@ def fit_forest(
     rows = scaling.apply(train)
     total = train.count()
     size = min(policy.sample, total)
-    depth = ceil(log2(max(size, 2)))
+    depth = _max_depth(size)
     seed = policy.seed
 
     def grow(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,11 +207,9 @@ def fit_forest(
         points = pdf.sort_values("_place")[columns].to_numpy(dtype=float)
         grown = _grow(points, depth, np.random.default_rng([seed, int(key[0])]))
         frame = pd.DataFrame(
-            grown, columns=["node", "feature", "cut", "left", "right", "length"]
+            grown, columns=["node", "depth", "feature", "cut", "length"]
         )
-        return frame.assign(tree=key[0])[
-            ["tree", "node", "feature", "cut", "left", "right", "length"]
-        ]
+        return frame.assign(tree=key[0])[["tree", *frame.columns]]
 
     drawn = _tree_samples(rows, columns, total, order_by, policy)
     nodes = drawn.groupBy("tree").applyInPandas(grow, _NODES).toPandas()

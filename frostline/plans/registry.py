@@ -660,7 +660,10 @@ _register(
 
 def _posture_used(**options):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        posture = rollups.posture_from_findings(fixture.findings(spark, sf_dir))
+        # written once: its size is counted before it is joined
+        posture = materialise(
+            rollups.posture_from_findings(fixture.findings(spark, sf_dir))
+        )
         telemetry = fixture.finding_telemetry(spark, sf_dir)
         return replace_posture(telemetry, posture, **options)
 
