@@ -37,9 +37,17 @@ _HELPERS = (PIECE, LEAD, SPLIT)
 
 @dataclass(frozen=True)
 class SplitPolicy:
-    max_rows: int = 2_000_000
+    """When to cut a group and how finely.
+
+    A piece is buffered (and spilled, if need be) by every window over it, hence
+    ``max_rows``. ``max_pieces`` bounds the broadcast lookup of boundaries to
+    some 300 bytes a piece; on tables of more than ``max_rows * max_pieces``
+    rows the pieces grow instead.
+    """
+
+    max_rows: int = 500_000
     candidates_per_piece: int = 16
-    max_pieces: int = 200_000
+    max_pieces: int = 500_000
 
 
 @dataclass(frozen=True)

@@ -1 +1 @@
-
+"""The time-binned series on a live stream."""

@@ -112,3 +112,11 @@ def test_piece_number_never_decreases(spark):
     pdf = pdf.sort_values(["at", "id"], na_position="last")
     assert (np.diff(pdf[PIECE]) >= 0).all()
     assert isinstance(pdf, pd.DataFrame) and pdf[PIECE].nunique() > 3
+
+
+def test_lead_rows_are_limited_before_the_shuffle(spark):
+    df = _frame(spark, _random_rows(200, seed=2))
+    g = lay_out(df, ["g"], ("at", "id"), lookback=6, policy=SplitPolicy(max_rows=20, candidates_per_piece=2))
+    plan = g.rows._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+    assert "NestedLoopJoin" not in plan
