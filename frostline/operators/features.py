@@ -68,9 +68,13 @@ _SENSORS = {
 }
 
 # Layers, in order. Windowed layers reach back over rows; the layers between
-# them only combine columns. Each smoothing round takes two layers.
-_LAGS, _FROM_LAGS, _FRAMES, _FROM_FRAMES, _SMOOTH = range(5)
-_LATE = _SMOOTH + 2 * len(_STRIDES)
+# them only combine columns. Each smoothing round takes two layers. The rolling
+# frames add most columns and so come with the last round: every window buffers
+# its rows, and the earlier ones then buffer narrow ones.
+_LAGS, _FROM_LAGS, _GAPS, _FROM_GAPS, _SMOOTH = range(5)
+_FRAMES = _SMOOTH + 2 * (len(_STRIDES) - 1)
+_FROM_FRAMES = _FRAMES + 1
+_LATE = _FROM_FRAMES + 1
 _DEPTH = _LATE + 2
 
 Layers = dict[int, dict[str, str]]
@@ -117,7 +121,7 @@ def _timing(g: OrderedGroups) -> Layers:
             "delay_med_1h": f"IF({count} >= 3, {median}, NULL)",
             "delay_std_1h": f"IF({count} >= 3, _delay_std, NULL)",
         },
-        _SMOOTH: {
+        _LATE: {
             "delay_z": f"(delay_min - delay_med_1h) / (delay_std_1h + {S.EPSILON}D)"
         },
     }
@@ -138,7 +142,7 @@ def _gps(g: OrderedGroups) -> Layers:
 
 def _sensor(g: OrderedGroups) -> Layers:
     ordered, last5 = g.frames.ordered, g.frames.last(5)
-    lags, turns, frames = {}, {}, {}
+    lags, turns, frames, spread = {}, {}, {}, {}
     for m, c in _SENSORS.items():
         lags[f"delta_{m}"] = X.zero_if_null(f"{c} - lag({c}) {ordered}")
     for m in ("temp", "hum"):
@@ -152,12 +156,12 @@ def _sensor(g: OrderedGroups) -> Layers:
         for n in ROLLING_WIDTHS:
             frame = g.frames.last(n)
             frames[f"{m}_roll_mean_{n}"] = f"avg({c}) {frame}"
-            frames[f"{m}_roll_std_{n}"] = X.zero_if_null(f"stddev_samp({c}) {frame}")
-        frames[f"{m}_var_5"] = X.zero_if_null(f"var_samp({c}) {last5}")
+            frames[f"{m}_var_{n}"] = X.zero_if_null(f"var_samp({c}) {frame}")
+            spread[f"{m}_roll_std_{n}"] = f"sqrt({m}_var_{n})"
         frames[f"zcr_{m}_5"] = f"IF(_row >= 2, avg(_turn_{m}) {last5}, NULL)"
     for n in ROLLING_WIDTHS:
         frames[f"dist_roll_max_{n}"] = f"max({_SENSORS['dist']}) {g.frames.last(n)}"
-    return {_LAGS: lags, _FROM_LAGS: turns, _FRAMES: frames}
+    return {_LAGS: lags, _FROM_LAGS: turns, _FRAMES: frames, _FROM_FRAMES: spread}
 
 
 def _smoothed(g: OrderedGroups) -> Layers:
@@ -175,12 +179,12 @@ def _smoothed(g: OrderedGroups) -> Layers:
         value, keep, add = _SENSORS[m], f"_keep_{m}", f"_add_{m}"
         seen_at = f"max(IF({value} IS NULL, NULL, _row)) {before}"
         fade = f"_fade_{m}"
-        layers[_FRAMES][fade] = f"pow({1.0 - alpha!r}D, _row - {seen_at})"
+        layers[_GAPS][fade] = f"pow({1.0 - alpha!r}D, _row - {seen_at})"
         # weights of the running mean and of the value; they add up to 1
-        layers[_FROM_FRAMES][keep] = (
+        layers[_FROM_GAPS][keep] = (
             f"IF({value} IS NULL, 1D, coalesce({fade} / ({fade} + {alpha!r}D), 0D))"
         )
-        layers[_FROM_FRAMES][add] = X.zero_if_null(
+        layers[_FROM_GAPS][add] = X.zero_if_null(
             f"{value} * coalesce({alpha!r}D / ({fade} + {alpha!r}D), 1D)"
         )
         for n, stride in enumerate(_STRIDES):
@@ -210,17 +214,14 @@ def _kinematic(g: OrderedGroups) -> Layers:
     step = f"IF({elapsed} IS NULL, NULL, greatest({elapsed}, 1D))"
     change = f"speed_mps - lag(speed_mps) {ordered}"
     frames = {
-        "accel_mps2": X.zero_if_null(f"({change}) / _elapsed"),
+        "jerk_mps3": X.zero_if_null(f"accel_mps2 - lag(accel_mps2) {ordered}"),
         "teleport_flag": f"CAST(speed_mps > {X.real(S.TELEPORT_MPS)} AS INT)",
     }
-    smooth = {
-        "jerk_mps3": X.zero_if_null(f"accel_mps2 - lag(accel_mps2) {ordered}")
-    }
     for n in SPEED_WIDTHS:
         frame = g.frames.last(n)
         frames[f"speed_mean_{n}"] = f"IF(_row >= 2, avg(speed_mps) {frame}, 0D)"
         frames[f"speed_std_{n}"] = X.zero_if_null(f"stddev_samp(speed_mps) {frame}")
-        smooth[f"accel_std_{n}"] = X.zero_if_null(f"stddev_samp(accel_mps2) {frame}")
+        frames[f"accel_std_{n}"] = X.zero_if_null(f"stddev_samp(accel_mps2) {frame}")
     return {
         _LAGS: {
             "_reported_before": f"lag({S.REPORTED}) {ordered}",
@@ -231,8 +232,8 @@ def _kinematic(g: OrderedGroups) -> Layers:
             "_elapsed": step,
             "speed_mps": f"{X.zero_if_null(moved)} / coalesce({step}, 1D)",
         },
+        _GAPS: {"accel_mps2": X.zero_if_null(f"({change}) / _elapsed")},
         _FRAMES: frames,
-        _SMOOTH: smooth,
     }
 
 

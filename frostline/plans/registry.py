@@ -19,7 +19,7 @@ from frostline.operators.lookups import attach_per_device, replace_posture
 from frostline.operators.series import SplitPolicy, lay_out
 from frostline.operators.storage import materialise
 from frostline.plans import fixture, oracle
-from frostline.plans.shapes import Shape, exact, present, present_sql, rounded
+from frostline.plans.shapes import SINGLE, Shape, exact, present, present_sql, rounded
 from frostline.settings import BoostPolicy, DecisionConfig, RiskPolicy
 from frostline.sources import telemetry as source
 
@@ -308,10 +308,10 @@ SENSOR_SHAPE = KEYS | {
 SMOOTHED_SHAPE = (
     KEYS
     | rounded(["temp_resid", "hum_resid"])
-    | rounded(["temp_resid_std_ratio", "hum_resid_std_ratio"], 4)
+    | rounded(["temp_resid_std_ratio", "hum_resid_std_ratio"], 2)
 )
 KINEMATIC_SHAPE = KEYS | {
-    c: None if c == "teleport_flag" else 6 for c in features.KINEMATIC
+    c: None if c == "teleport_flag" else 4 for c in features.KINEMATIC
 }
 REPLAY_SHAPE = KEYS | exact("dup_flag") | rounded(["dup_ratio_5", "dup_ratio_10"])
 GPS_SHAPE = KEYS | exact(*features.GPS)
@@ -623,13 +623,11 @@ for _measure in S.POSTURE_MEASURES:
         oracle.DAYS,
         f'(SELECT * FROM deltas ORDER BY delta_{_measure} DESC, "Device_ID" LIMIT 5)',
     )
-# the combined chance is a product of two-digit decimals: it is compared at a
-# precision where such products are not half-way cases
 FOUND_SHAPE = (
     exact(S.DEVICE)
     | rounded(["cvss_mean"])
     | exact("cvss_max")
-    | rounded(["epss_comb"], 14)
+    | rounded(["epss_comb"], SINGLE)
     | exact("dvd")
 )
 _register(
@@ -673,7 +671,7 @@ def _posture_used(**options):
 _USED_SHAPE = (
     exact(S.DEVICE, S.ROW_ID)
     | rounded(["cvss_used", "dvd_used"])
-    | rounded(["epss_used"], 14)
+    | rounded(["epss_used"], SINGLE)
 )
 
 

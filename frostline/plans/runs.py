@@ -33,12 +33,12 @@ class AlertRun:
 
 
 def train_detectors(telemetry: DataFrame, policy: BoostPolicy = BoostPolicy()) -> Detectors:
-    """Features over the whole series first, then the split: frames only look
+    """Features are built over the whole series, not per side: frames only look
     back, so validation rows may see training rows but not the reverse."""
     sizes = measure(telemetry, [S.DEVICE])
-    featured = split.add_targets(engineer_features(telemetry, sizes=sizes))
-    marked = materialise(split.mark_validation(featured, sizes=sizes))
-    train, held_out = split.train_and_validation(marked)
+    marked = split.mark_validation(telemetry, sizes=sizes)
+    featured = materialise(split.add_targets(engineer_features(marked, sizes=sizes)))
+    train, held_out = split.train_and_validation(featured)
     return fit_detectors(train, split.without_augmented(held_out), policy)
 
 
