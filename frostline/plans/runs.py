@@ -24,6 +24,9 @@ from frostline.sources import results
 from frostline.sources.telemetry import read_telemetry
 
 
+_TRAINING_KEYS = (S.DEVICE, S.RECEIVED, S.ROW_ID, S.LABEL, "is_augmented", split.VALIDATION)
+
+
 @dataclass(frozen=True)
 class AlertRun:
     detectors: Detectors
@@ -37,8 +40,15 @@ def train_detectors(telemetry: DataFrame, policy: BoostPolicy = BoostPolicy()) -
     back, so validation rows may see training rows but not the reverse."""
     sizes = measure(telemetry, [S.DEVICE])
     marked = split.mark_validation(telemetry, sizes=sizes)
-    featured = materialise(split.add_targets(engineer_features(marked, sizes=sizes)))
-    train, held_out = split.train_and_validation(featured)
+    featured = split.add_targets(engineer_features(marked, sizes=sizes))
+    # only what the models read is written
+    inputs = {*S.TEMP_FEATURES, *S.GEO_FEATURES, *S.TAMPER_FEATURES, *S.ATTACK_FEATURES}
+    rows = materialise(
+        featured.select(
+            *_TRAINING_KEYS, *split.TARGETS, *sorted(inputs - set(_TRAINING_KEYS))
+        )
+    )
+    train, held_out = split.train_and_validation(rows)
     return fit_detectors(train, split.without_augmented(held_out), policy)
 
 

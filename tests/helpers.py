@@ -1,4 +1,4 @@
-"""Small hand-made telemetry and an independent pandas model of the features."""
+"""Small hand-made telemetry and the features by definition, row by row."""
 
 from __future__ import annotations
 
@@ -91,93 +91,152 @@ def to_spark(spark, frame: pd.DataFrame, schema: T.StructType = SCHEMA):
     return spark.createDataFrame(rows, schema)
 
 
-def pandas_features(frame: pd.DataFrame) -> pd.DataFrame:
-    """One device at a time, with pandas' own rolling and smoothing."""
-    ordered = frame.sort_values(["Device_ID", "timestamp", "event_id"], na_position="last")
-    return pd.concat(
-        [_device_features(g.reset_index(drop=True)) for _, g in ordered.groupby("Device_ID")]
-    )
-
-
-def _cv(a):
-    return (np.nanstd(a) + 1e-6) / (np.nanmean(a) + 1e-6)
-
-
-def _device_features(g: pd.DataFrame) -> pd.DataFrame:
-    out = g[["event_id"]].copy()
-
-    def minutes(d):
-        return d.dt.total_seconds() / 60
-
-    delay = minutes(g["timestamp"] - g["timestamp_reported"])
-    rpt = minutes(g["timestamp_reported"].diff())
-    rcv = minutes(g["timestamp"].diff())
-    out["delay_min"], out["rpt_gap_min"], out["rcv_gap_min"] = delay, rpt, rcv
-    out["delay_big"] = (delay >= 5).astype(int)
-    out["gap_err_min"] = (rpt - rcv).fillna(0)
-    out["reported_ts_diff_min"] = rpt.fillna(0)
-    out["rpt_ooo"] = (g["timestamp_reported"] < g["timestamp_reported"].shift()).astype(int)
-    out["delay_med_1h"] = delay.rolling(12, min_periods=3).median()
-    out["delay_std_1h"] = delay.rolling(12, min_periods=3).std()
-    for name, gap in (("rpt", rpt), ("rcv", rcv)):
-        out[f"{name}_gap_cv_5"] = gap.rolling(5, min_periods=3).apply(_cv, raw=True).fillna(0)
-
-    same = np.ones(len(g), dtype=bool)
-    for c in ("lat_reported", "lon_reported"):
-        same &= g[c].round(5).eq(g[c].round(5).shift()).to_numpy()
-    out["gps_same"] = same.astype(int)
-    run, runs = 0, []
-    for flag in same:
-        run = run + 1 if flag else 0
-        runs.append(run)
-    out["gps_repeat_count"] = runs
-    out["gps_repeat_cap10"] = np.minimum(runs, 10)
-
-    for m, c in (("temp", "temp_reported"), ("hum", "humidity_reported")):
-        x = g[c]
+# -- the features once more, by definition, row by row ---------------------------
+
+
+def expected_features(frame: pd.DataFrame) -> pd.DataFrame:
+    rows = []
+    for _, device in frame.groupby("Device_ID"):
+        ordered = device.sort_values(["timestamp", "event_id"])
+        rows += _device_rows(ordered.to_dict("list"), len(ordered))
+    return pd.DataFrame(rows)
+
+
+def _known(values):
+    return [v for v in values if v is not None and not math.isnan(v)]
+
+
+def _spread(values, *, sample: bool):
+    """Standard deviation; unknown for a single sample value."""
+    n = len(values) - (1 if sample else 0)
+    if n < 1:
+        return math.nan
+    centre = math.fsum(values) / len(values)
+    return math.sqrt(math.fsum((v - centre) ** 2 for v in values) / n)
+
+
+def _or_zero(value):
+    return 0.0 if math.isnan(value) else value
+
+
+def _steps(values):
+    return [math.nan] + [b - a for a, b in zip(values, values[1:])]
+
+
+def _metres(lat0, lon0, lat1, lon1):
+    """Great-circle distance by the chord between unit vectors."""
+    a, b, c, d = (math.radians(v) for v in (lat0, lon0, lat1, lon1))
+    p = np.array([math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)])
+    q = np.array([math.cos(c) * math.cos(d), math.cos(c) * math.sin(d), math.sin(c)])
+    return 2 * 6371000.0 * math.asin(min(1.0, float(np.linalg.norm(p - q)) / 2))
+
+
+def _smoothed(values):
+    """Exponentially weighted means with alpha 1/3, weights spelled out: the
+    latest known value has weight 1/3 against everything before, and what came
+    before has faded by 2/3 for every row since."""
+    means, mean, since = [], math.nan, 0
+    for v in values:
+        since += 1
+        if not math.isnan(v):
+            if math.isnan(mean):
+                mean = v
+            else:
+                old = (2 / 3) ** since
+                mean = (old * mean + v / 3) / (old + 1 / 3)
+            since = 0
+        means.append(mean)
+    return means
+
+
+def _device_rows(c: dict, n: int) -> list[dict]:
+    def minutes(a, b):
+        return math.nan if pd.isna(a) or pd.isna(b) else (b - a).total_seconds() / 60
+
+    def window(values, i, size):
+        return values[max(0, i - size + 1) : i + 1]
+
+    sent, got = c["timestamp_reported"], c["timestamp"]
+    delay = [minutes(s, g) for s, g in zip(sent, got)]
+    sent_gap = [math.nan] + [minutes(a, b) for a, b in zip(sent, sent[1:])]
+    got_gap = [math.nan] + [minutes(a, b) for a, b in zip(got, got[1:])]
+    temp, hum = c["temp_reported"], c["humidity_reported"]
+    dist, lat, lon = c["distance_from_route_reported"], c["lat_reported"], c["lon_reported"]
+
+    speed, accel = [], []
+    for i in range(n):
+        here = (lat[i - 1], lon[i - 1], lat[i], lon[i]) if i else (math.nan,) * 4
+        moved = 0.0 if any(map(math.isnan, here)) else _metres(*here)
+        elapsed = sent_gap[i] * 60
+        speed.append(moved / max(_or_zero(elapsed), 1.0))
+        known = i and not math.isnan(elapsed)
+        accel.append((speed[i] - speed[i - 1]) / max(elapsed, 1.0) if known else 0.0)
+
+    def place(i):
+        return (round(lat[i], 5), round(lon[i], 5))
+
+    def reading(i):
+        values = (round(lat[i], 5), round(lon[i], 5), round(temp[i], 1), round(hum[i], 1))
+        return tuple(map(str, values))  # a missing part equals a missing part
+
+    same = [int(i > 0 and place(i) == place(i - 1)) for i in range(n)]
+    again = [int(i > 0 and reading(i) == reading(i - 1)) for i in range(n)]
+    deltas = {"temp": temp, "hum": hum, "dist": dist}
+    deltas = {m: [_or_zero(d) for d in _steps(v)] for m, v in deltas.items()}
+    signs = {m: [(d > 0) - (d < 0) for d in deltas[m]] for m in ("temp", "hum")}
+    smooth = {"temp": _smoothed(temp), "hum": _smoothed(hum)}
+
+    rows = []
+    for i in range(n):
+        row = {
+            "event_id": c["event_id"][i],
+            "delay_min": delay[i],
+            "delay_big": int(delay[i] >= 5),
+            "rpt_gap_min": sent_gap[i],
+            "rcv_gap_min": got_gap[i],
+            "gap_err_min": _or_zero(sent_gap[i] - got_gap[i]),
+            "reported_ts_diff_min": _or_zero(sent_gap[i]),
+            "rpt_ooo": int(sent_gap[i] < 0),
+            "gps_same": same[i],
+            "gps_repeat_count": next(k for k in range(n + 1) if k > i or not same[i - k]),
+            "speed_mps": speed[i],
+            "accel_mps2": accel[i],
+            "jerk_mps3": accel[i] - accel[i - 1] if i else 0.0,
+            "teleport_flag": int(speed[i] > 60),
+            "dup_flag": again[i],
+        }
+        row["gps_repeat_cap10"] = min(10, row["gps_repeat_count"])
+        recent = sorted(_known(window(delay, i, 12)))
+        enough = len(recent) >= 3
+        row["delay_med_1h"] = float(np.median(recent)) if enough else math.nan
+        row["delay_std_1h"] = _spread(recent, sample=True) if enough else math.nan
+        for name, gaps in (("rpt", sent_gap), ("rcv", got_gap)):
+            recent = _known(window(gaps, i, 5))
+            row[f"{name}_gap_cv_5"] = 0.0
+            if len(recent) >= 3:
+                centre = math.fsum(recent) / len(recent)
+                row[f"{name}_gap_cv_5"] = (_spread(recent, sample=False) + 1e-6) / (centre + 1e-6)
+        for m, values in (("temp", temp), ("hum", hum)):
+            for w in (3, 5, 7):
+                recent = _known(window(values, i, w))
+                row[f"{m}_roll_mean_{w}"] = math.fsum(recent) / len(recent) if recent else math.nan
+                row[f"{m}_roll_std_{w}"] = _or_zero(_spread(recent, sample=True))
+            row[f"{m}_var_5"] = _or_zero(_spread(_known(window(values, i, 5)), sample=True)) ** 2
+            row[f"{m}_resid"] = _or_zero(values[i] - smooth[m][i])
+            turned = [int(k > 0 and signs[m][k] != signs[m][k - 1]) for k in range(max(0, i - 4), i + 1)]
+            row[f"zcr_{m}_5"] = sum(turned) / len(turned) if i else math.nan
+        for m in deltas:
+            row[f"delta_{m}"] = deltas[m][i]
         for w in (3, 5, 7):
-            out[f"{m}_roll_mean_{w}"] = x.rolling(w, min_periods=1).mean()
-            out[f"{m}_roll_std_{w}"] = x.rolling(w, min_periods=1).std().fillna(0)
-        out[f"delta_{m}"] = x.diff().fillna(0)
-        out[f"{m}_var_5"] = x.rolling(5, min_periods=2).var().fillna(0)
-        out[f"{m}_resid"] = (x - x.ewm(span=5, adjust=False).mean()).fillna(0)
-        sign = np.sign(out[f"delta_{m}"])
-        crossed = (sign != sign.shift()).astype(int)
-        crossed.iloc[0] = 0
-        out[f"zcr_{m}_5"] = crossed.rolling(5, min_periods=2).mean()
-    d = g["distance_from_route_reported"]
-    out["delta_dist"] = d.diff().fillna(0)
-    for w in (3, 5, 7):
-        out[f"dist_roll_max_{w}"] = d.rolling(w, min_periods=1).max()
-
-    lat, lon = np.radians(g["lat_reported"]), np.radians(g["lon_reported"])
-    a = (
-        np.sin((lat - lat.shift()) / 2) ** 2
-        + np.cos(lat.shift()) * np.cos(lat) * np.sin((lon - lon.shift()) / 2) ** 2
-    )
-    metres = (2 * 6371000.0 * np.arcsin(np.sqrt(a))).fillna(0)
-    dt = g["timestamp_reported"].diff().dt.total_seconds()
-    speed = metres / np.maximum(dt.fillna(0), 1.0)
-    accel = (speed.diff() / dt.clip(lower=1.0)).fillna(0)
-    out["speed_mps"], out["accel_mps2"] = speed, accel
-    out["jerk_mps3"] = accel.diff().fillna(0)
-    out["teleport_flag"] = (speed > 60).astype(int)
-    for w in (5, 12):
-        out[f"speed_mean_{w}"] = speed.rolling(w, min_periods=2).mean().fillna(0)
-        out[f"speed_std_{w}"] = speed.rolling(w, min_periods=2).std().fillna(0)
-        out[f"accel_std_{w}"] = accel.rolling(w, min_periods=2).std().fillna(0)
-
-    key = (
-        g["lat_reported"].round(5).astype(str)
-        + "|"
-        + g["lon_reported"].round(5).astype(str)
-        + "|"
-        + g["temp_reported"].round(1).astype(str)
-        + "|"
-        + g["humidity_reported"].round(1).astype(str)
-    )
-    dup = (key == key.shift()).astype(int)
-    out["dup_flag"] = dup
-    for w in (5, 10):
-        out[f"dup_ratio_{w}"] = dup.rolling(w, min_periods=2).mean().fillna(0)
-    return out
+            recent = _known(window(dist, i, w))
+            row[f"dist_roll_max_{w}"] = max(recent) if recent else math.nan
+        for w in (5, 12):
+            recent = window(speed, i, w)
+            row[f"speed_mean_{w}"] = math.fsum(recent) / len(recent) if i else 0.0
+            row[f"speed_std_{w}"] = _or_zero(_spread(recent, sample=True))
+            row[f"accel_std_{w}"] = _or_zero(_spread(window(accel, i, w), sample=True))
+        for w in (5, 10):
+            recent = window(again, i, w)
+            row[f"dup_ratio_{w}"] = sum(recent) / len(recent) if i else 0.0
+        rows.append(row)
+    return rows

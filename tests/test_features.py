@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from frostline.operators.features import ALL_FEATURES, GPS, KINEMATIC, engineer_features
 from frostline.operators.series import SplitPolicy
-from helpers import pandas_features, random_telemetry, to_spark
+from helpers import expected_features, random_telemetry, to_spark
 
 # these divide by a deviation that may be zero, which magnifies rounding noise
 GUARDED = {"delay_z", "temp_resid_std_ratio", "hum_resid_std_ratio"}
@@ -32,9 +32,9 @@ def _assert_close(actual, expected, columns, tolerance=1e-6):
     [SplitPolicy(), SplitPolicy(max_rows=60, candidates_per_piece=4), SplitPolicy(max_rows=7, candidates_per_piece=1)],
     ids=["whole", "pieces", "tiny_pieces"],
 )
-def test_features_agree_with_pandas(spark, frame, policy):
+def test_features_agree_with_their_definition(spark, frame, policy):
     df = engineer_features(to_spark(spark, frame), policy=policy)
-    _assert_close(df.toPandas(), pandas_features(frame), COMPARED)
+    _assert_close(df.toPandas(), expected_features(frame), COMPARED)
 
 
 def test_single_row_device_starts_from_scratch(spark, frame):

@@ -37,10 +37,11 @@ def _expected(rows):
         groups.setdefault(r[0], []).append(r)
     for members in groups.values():
         members.sort(key=lambda r: (r[1] is None, r[1] or 0.0, r[2]))
-        total, run = 0, 0
+        total = 0
         for place, r in enumerate(members):
             total += r[3]
-            run = run + 1 if r[4] else 0
+            flags = [m[4] for m in members[: place + 1]]
+            run = flags[::-1].index(0) if 0 in flags else len(flags)
             recent = [m[3] for m in members[max(0, place - 6) : place + 1]]
             out[r[2]] = (total, sum(m[3] for m in members), run, sum(recent))
     return out
