@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, common, decontaminate, language, packing, token_codes
+from frostline.llm import chat, common, decontaminate, jaccard, language, packing, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(_table(spark, sf_dir, "documents"), percent=85, size=4)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0, 2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -78,6 +82,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_language_profiles": op3_language_profiles,
     "op4_decontaminate": op4_decontaminate,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
