@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, common, decontaminate, jaccard, language, packing, token_codes
+from frostline.llm import chat, common, decontaminate, jaccard, language, packing, quality, shards, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,18 +72,46 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_table(spark, sf_dir, "documents"), percent=85, size=4)
 
 
+def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.new_path(spark, "shards")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards.shard(docs, 24, path)
+    back = spark.read.schema("record struct<doc_id: long, text: string>, slot long, shard int").parquet(path)
+    text = F.col("record.text")
+    return back.select(
+        F.col("record.doc_id").alias("doc_id"),
+        shards.size_of(text).alias("size"),
+        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0, 2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = common.written(quality.with_statistics(docs).select("doc_id", "statistics"), "statistics")
+    rules = quality.learn_rules(rated, _table(spark, sf_dir, "labels"))
+    judged = quality.judge(rated, rules)
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return judged.select("doc_id", *(f"statistics.{x}" for x in base), "kept", "rule")
+
+
 QUERIES = {
     "op1_token_codes": op1_token_codes,
     "op2_chat_format": op2_chat_format,
     "op3_language_profiles": op3_language_profiles,
     "op4_decontaminate": op4_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_external_shuffle": op7_external_shuffle,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_decision_lists": op10_decision_lists,
 }
 
 SQL: dict[str, str] = {}
