@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, common, decontaminate, jaccard, language, packing, quality, shards, token_codes
+from frostline.llm import chat, common, decontaminate, jaccard, language, packing, quality, shards, token_codes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,18 @@ def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_hash_of_id(4) == 2, F.lit(False))
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels").filter(_hash_of_id(4) != 2))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0, 2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -110,6 +122,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_external_shuffle": op7_external_shuffle,
+    "op8_compression_distance": op8_compression_distance,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_decision_lists": op10_decision_lists,
 }
