@@ -7,15 +7,21 @@ Candidates. Sets x and y with Jaccard similarity of at least `percent`/100 and
 at most U shingles each differ in at most D = (200 - 2p)U / (100 + p) of them.
 With the order cut into F > D fragments, at least F - D fragments are equal in x
 and y. So every set gives one signature per fragment that is not empty (the hash
-of what it has there), and similar sets meet in a signature. F depends on a class
+of what it has there), and similar sets meet in signatures. F depends on a class
 of sizes; a set near the upper end of its class signs for the next class too.
 Fragments may be empty in both sets: F leaves a slack z for that, and a set with
 more than z empty fragments also signs with its first shingles in the global
-order (the usual prefix), where two such sets must meet.
+order (the usual prefix), where two such sets must meet. F leaves another slack w:
+similar sets share more than w signatures, so each set can do without its w most
+frequent ones, and two similar sets still meet in the rarest that they share.
+This drops the signatures of passages that many texts share.
 
 Verification. The order is cut into `FRAGMENTS` fixed fragments. Each candidate
 pair's overlap is counted in every fragment separately and summed per pair;
-lengths and the sum decide.
+lengths and the sum decide. Before that, a short sketch turns away most pairs
+that cannot be similar: the order is also cut into 1024 cells, and a bit tells
+whether a set has an odd number of shingles in a cell. Two sets differ in at
+least as many shingles as in bits.
 
 Groups. Equal sets are one class throughout. Members of one signature are not
 paired with each other: each is compared with one hub, links are joined into
@@ -40,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.llm import common
@@ -48,7 +54,9 @@ from frostline.llm.rows import partial_rows
 
 FRAGMENTS = 8
 HUB_ROUNDS = 3
+FILTER_WORDS = 1 << 15
 SMALLEST_CLASS, CLASS_RATIO = 8, 1.5
+CLASSES, PREFIX_KIND = 64, 64
 
 _IS_WORD = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
 _FOLD = np.array([x + 32 if 0x41 <= x <= 0x5A else x for x in range(256)], np.uint8)
@@ -94,40 +102,48 @@ class SizeClasses:
         largest = size * 100 // self.percent
         return list(range(own, self.of(largest) + 1))
 
-    def fragments(self, number: int) -> tuple[int, int]:
-        """(fragments, slack for empty ones) of a class."""
-        self.of(SMALLEST_CLASS)
-        bound = self.bounds[number]
-        differ = (200 - 2 * self.percent) * bound // (100 + self.percent)
-        slack = 1 + differ // 40
-        return differ + 1 + slack, slack
+    def fragments(self, number: int) -> tuple[int, int, int]:
+        """(fragments, slack for empty ones, slack for frequent ones) of a class."""
+        while len(self.bounds) <= number:
+            self.of(self.bounds[-1] + 1)
+        differ = (200 - 2 * self.percent) * self.bounds[number] // (100 + self.percent)
+        empty, frequent = 1 + differ // 40, 2 + differ // 10
+        return differ + 1 + empty + frequent, empty, frequent
 
 
 def signatures(own: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Signatures of a set of at least one shingle."""
+    """Signatures of a set of at least one shingle. The lowest seven bits hold the
+    class, and whether the signature is of the prefix kind."""
     found = []
     spread = common.mixed(own)
     for number in classes.signing(len(own)):
-        count, slack = classes.fragments(number)
+        count, slack, _ = classes.fragments(number)
         part = ((own >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        label = np.uint64(number * 0x9E3779B1 + 1)
-        found.append(common.mixed(np.add.reduceat(spread, at) + part[at] * np.uint64(0xC2B2AE3D27D4EB4F) + label))
+        hashes = common.mixed(np.add.reduceat(spread, at) + part[at] * np.uint64(0xC2B2AE3D27D4EB4F))
+        found.append((hashes & ~np.uint64(127)) | np.uint64(number))
         if count - len(at) > slack:
             prefix = len(own) - (len(own) * classes.percent + 99) // 100 + 1
-            found.append(common.mixed(spread[:prefix] ^ np.uint64(0x27D4EB2F165667C5) + label))
+            found.append((spread[:prefix] & ~np.uint64(127)) | np.uint64(number + PREFIX_KIND))
     return np.concatenate(found)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """1024 bits: is the number of shingles in a cell odd."""
+    odd = np.bincount((own >> np.uint64(8)).astype(np.int64) & 1023, minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
         for batch in batches:
             for block in common.text_blocks(batch):
-                counts, keys, signs, ends = [], [], [], [0]
+                counts, keys, bits, signs, ends = [], [], [], [], [0]
                 for own in shingle_sets(block.column("text"), size):
                     counts.append(len(own))
                     keys.append(set_key(own))
+                    bits.append(parities(own).tolist())
                     if len(own):
                         signs.append(common.signed(signatures(own, classes)))
                     ends.append(ends[-1] + (len(signs[-1]) if len(own) else 0))
@@ -137,9 +153,10 @@ def _sketch(percent: int, size: int):
                         block.column("doc_id"),
                         pa.array(counts, pa.int64()),
                         pa.array(keys, pa.int64()),
+                        pa.array(bits, pa.list_(pa.int64())),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "class", "signs"],
+                    names=["doc_id", "n_shingles", "class", "parities", "signs"],
                 )
 
     return run
@@ -174,18 +191,54 @@ def _fragments(size: int):
     return run
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those that sizes and parities allow."""
+
+    def side(name: str) -> DataFrame:
+        return sketches.select(
+            F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("parities").alias(f"bits_{name}")
+        )
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    different = F.aggregate(
+        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    )
+    sizes = F.col("n_a") + F.col("n_b")
+    near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    return both.filter(near & (different * (100 + percent) <= (100 - percent) * sizes)).select("a", "b")
+
+
 def linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of classes, those that are similar enough: overlaps
     counted in every fragment, then summed."""
     own = fragments.select(F.col("class").alias("a"), "part", F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
     other = fragments.select(F.col("class").alias("b"), "part", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-    both = pairs.join(own, "a").join(other, ["b", "part"])
-    both = both.filter((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
     partial = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
-    summed = both.groupBy("a", "b").agg(F.sum(partial).alias("same"), F.max(F.col("n_a") + F.col("n_b")).alias("total"))
+    summed = (
+        pairs.join(own, "a")
+        .join(other, ["b", "part"])
+        .groupBy("a", "b")
+        .agg(F.sum(partial).alias("same"), F.max(F.col("n_a") + F.col("n_b")).alias("total"))
+    )
     return summed.filter(F.col("same") * 100 >= percent * (F.col("total") - F.col("same"))).select("a", "b")
 
 
+def _some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with an id in ids. A broadcast table of `FILTER_WORDS`
+    64-bit words, whatever the number of ids, keeps most other texts out of the
+    shuffle; the join after it is exact."""
+
+    def place(column: str) -> tuple[Column, Column]:
+        spread = F.xxhash64(F.coalesce(F.col(column), F.lit(-1)))
+        return F.pmod(F.shiftrightunsigned(spread, 6), F.lit(FILTER_WORDS)).cast("int"), spread.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = place("doc_id")
+    table = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    rows = docs.withColumns({"word": word, "bit": bit}).join(F.broadcast(table), "word")
+    rows = rows.filter(F.getbit("bits", F.col("bit")) == 1).select(*docs.columns)
+    return rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+
+
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(class, label) with the smallest label that is reached by links (a, b).
     Labels of linked components meet until none changes; a label then points at
@@ -217,16 +270,11 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         )
 
 
-def _class_labels(docs: DataFrame, members: DataFrame, firsts: DataFrame, percent: int, size: int) -> DataFrame:
+def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """(class, label) for all classes in `members` (sign, class)."""
     some = members.select("class").distinct()
-    ids = some.join(firsts, "class").select("doc_id").distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    fragments = partial_rows(texts, ["text"], "class long, n long, part int, grams array<long>", _fragments(size))
-    fragments = common.written(
-        fragments.join(some, "class", "left_semi").dropDuplicates(["class", "part"]), "fragments"
-    )
     labels = common.written(some.withColumn("label", F.col("class")), "labels")
+    sketches = common.written(classes.join(some, "class", "left_semi"), "candidates")
     tested = None
     for number in range(HUB_ROUNDS + 1):
         here = members.join(labels, "class")
@@ -252,27 +300,47 @@ def _class_labels(docs: DataFrame, members: DataFrame, firsts: DataFrame, percen
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(labels, common.written(linked(pairs, fragments, percent), "links"))
+        near = common.written(possible(pairs, sketches, percent), "possible")
+        ends = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        texts = _some_texts(docs, sketches.join(ends, "class", "left_semi").select("doc_id").distinct())
+        grams = partial_rows(texts, ["text"], "class long, n long, part int, grams array<long>", _fragments(size))
+        grams = grams.join(ends, "class", "left_semi").dropDuplicates(["class", "part"])
+        links = linked(near, common.written(grams, "fragments"), percent)
+        labels = components(labels, common.written(links, "links"))
     return labels
 
 
+def _members(rows: DataFrame, percent: int) -> DataFrame:
+    """(sign, class) of the signatures that two classes or more share, without
+    those that a class can spare."""
+    signed = rows.select("class", F.explode("signs").alias("sign")).repartition("sign")
+    by_sign = Window.partitionBy("sign")
+    signed = signed.withColumns(
+        {"low": F.min("class").over(by_sign), "high": F.max("class").over(by_sign), "times": F.count("*").over(by_sign)}
+    )
+    shared = common.written(signed.filter("low <> high").select("sign", "class", "times").distinct(), "shared")
+    sizes = SizeClasses(percent)
+    spare = F.get(F.array(*(F.lit(sizes.fragments(x)[2]) for x in range(CLASSES))), F.col("number"))
+    number = F.col("sign").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
+    shared = shared.withColumns({"number": number, "prefix": F.col("sign").bitwiseAND(F.lit(PREFIX_KIND)) != 0})
+    order = Window.partitionBy("class", "number", "prefix").orderBy(F.desc("times"), "sign")
+    kept = shared.withColumn("rank", F.row_number().over(order)).filter(F.col("prefix") | (F.col("rank") > spare))
+    return common.written(kept.select("sign", "class"), "members")
+
+
 def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest
     doc_id that links reach)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = partial_rows(
-        docs, ["doc_id", "text"], "doc_id long, n_shingles long, class long, signs array<long>", _sketch(percent, size)
-    )
-    rows = common.written(rows, "sketches")
-    sets = rows.select("doc_id", "n_shingles", "class").filter("n_shingles > 0")
-    firsts = common.written(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, n_shingles long, class long, parities array<long>, signs array<long>"
+    rows = common.written(partial_rows(docs, ["doc_id", "text"], schema, _sketch(percent, size)), "sketches")
+    some = rows.filter("n_shingles > 0")
+    firsts = common.written(some.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "firsts")
     first = (rows["class"] == firsts["class"]) & rows["doc_id"].eqNullSafe(firsts["doc_id"])
-    one = rows.filter("n_shingles > 0").join(firsts, first, "left_semi")
-    signed = one.select("class", F.explode("signs").alias("sign")).repartition("sign")
-    by_sign = Window.partitionBy("sign")
-    signed = signed.withColumns({"low": F.min("class").over(by_sign), "high": F.max("class").over(by_sign)})
-    members = common.written(signed.filter("low <> high").select("sign", "class").distinct(), "members")
-    labels = _class_labels(docs, members, firsts, percent, size)
+    one = some.join(firsts, first, "left_semi")
+    members = _members(one, percent)
+    classes = one.select("class", "doc_id", F.col("n_shingles").alias("n"), "parities").dropDuplicates(["class"])
+    labels = _class_labels(docs, members, classes, percent, size)
     groups = firsts.join(labels, "class", "left").select(
         "class", F.coalesce("label", "class").alias("label"), "doc_id"
     )
