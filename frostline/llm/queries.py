@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, common, decontaminate, jaccard, language, packing, quality, shards, token_codes, toxicity
+from frostline.llm import chat, common, decontaminate, html_text, jaccard, language, packing, quality, shards, token_codes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.learn(pages))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_table(spark, sf_dir, "documents"), percent=85, size=4)
 
@@ -120,6 +125,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_language_profiles": op3_language_profiles,
     "op4_decontaminate": op4_decontaminate,
+    "op5_block_labeller": op5_block_labeller,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_compression_distance": op8_compression_distance,
