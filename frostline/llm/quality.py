@@ -34,7 +34,6 @@ MAX_RULES = 12
 THRESHOLDS = 32
 
 _SPACE = r"[\x20\x09-\x0D]"
-_BLANK = "\x20\t\n\x0b\x0c\r"
 _WINDOW = 5
 
 
@@ -76,22 +75,11 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < _WINDOW + 1, F.lit(0)).otherwise(_once(windows, of)).cast("long")
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with a struct column `statistics`: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, n_lines, n_distinct_words, n_chars, n_digits,
-    n_stops, base_failed."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.filter(F.split(text, _SPACE + "+"), lambda w: w != "")
-    rows = docs.withColumns({"frostline_text": text, "frostline_words": words})
-    text, words = F.col("frostline_text"), F.col("frostline_words")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-
+def _counts(text: Column, words: Column, lines: Column) -> Column:
     def without(chars: str) -> Column:
         return (F.length(text) - F.length(F.regexp_replace(text, chars, ""))).cast("long")
 
-    rows = rows.withColumn("frostline_lines", lines)
-    lines = F.col("frostline_lines")
-    counted = F.struct(
+    return F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         without("[#*$%&|<>]+").alias("n_symbols"),
@@ -103,22 +91,46 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         without("[0-9]+").alias("n_digits"),
         without("[.]+").alias("n_stops"),
     )
-    failed = (F.col("statistics.n_words") < 10) | (
-        100 * F.col("statistics.n_repeat_words") > 20 * F.col("statistics.n_words")
+
+
+FIELDS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    "n_lines", "n_distinct_words", "n_chars", "n_digits", "n_stops",
+)
+
+
+def judgement(text: Column, rules: list[Rule]) -> Column:
+    """A struct of the statistics (`FIELDS`), base_failed, rule (the number of the
+    first learned rule that holds; 0: none) and kept. It is one expression in
+    which everything is computed once, however a plan moves it."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    parts = F.struct(
+        text.alias("text"),
+        F.filter(F.split(text, _SPACE + "+"), lambda w: w != "").alias("words"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    rows = rows.withColumn("statistics", counted).drop("frostline_text", "frostline_words", "frostline_lines")
-    return rows.withColumn("statistics", F.col("statistics").withField("base_failed", failed))
+
+    def verdict(counts: Column) -> Column:
+        failed = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
+        rule = F.when(failed, F.lit(0)).otherwise(_first_rule(rules, counts))
+        return F.struct(
+            *(counts[x].alias(x) for x in FIELDS),
+            failed.alias("base_failed"),
+            rule.alias("rule"),
+            (~failed & (rule == 0)).alias("kept"),
+        )
+
+    return _once(parts, lambda p: _once(_counts(p["text"], p["words"], p["lines"]), verdict))
 
 
-def rates() -> dict[str, Column]:
-    """What rules are made of, from the column `statistics`."""
+def rates(counts: Column) -> dict[str, Column]:
+    """What rules are made of."""
 
     def part(top: str, below: str) -> Column:
-        lower = F.col(f"statistics.{below}")
-        return F.when(lower > 0, F.col(f"statistics.{top}") / lower).otherwise(F.lit(0.0))
+        return F.when(counts[below] > 0, counts[top] / counts[below]).otherwise(F.lit(0.0))
 
     return {
-        "words": F.col("statistics.n_words").cast("double"),
+        "words": counts["n_words"].cast("double"),
         "word_length": part("word_chars", "n_words"),
         "symbols_per_word": part("n_symbols", "n_words"),
         "dup_lines": part("n_dup_lines", "n_lines"),
@@ -212,10 +224,9 @@ def learn(examples: list[tuple[dict[str, float], bool, int]]) -> list[Rule]:
     return rules
 
 
-def rejected(rules: list[Rule]) -> Column:
-    """The list as a conditional expression over the column `statistics`: the
-    number of the first rule that holds, from 1; 0 if none does."""
-    values, verdict = rates(), None
+def _first_rule(rules: list[Rule], counts: Column) -> Column:
+    """The list as a conditional expression."""
+    values, verdict = rates(counts), None
     for number, rule in enumerate(rules, 1):
         holds = None
         for name, sign, threshold in rule.terms:
@@ -225,23 +236,27 @@ def rejected(rules: list[Rule]) -> Column:
     return F.lit(0) if verdict is None else verdict.otherwise(0)
 
 
-def learn_rules(rated: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> list[Rule]:
+def learn_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> list[Rule]:
     """Rules for quality 0 from labelled documents that pass the base rules.
-    rated: doc_id and statistics; labels: doc_id, quality."""
+    docs: doc_id, text; labels: doc_id, quality."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     count = known.count()
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     if count > train_rows:
         known = known.filter(order < int(1_000_000 * train_rows / count))
-    rows = rated.filter(~F.col("statistics.base_failed")).join(known, "doc_id")
-    picked = rows.select("quality", order.alias("hash"), *(v.alias(k) for k, v in rates().items()))
-    names = list(rates())
-    examples = [({k: r[k] for k in names}, r["quality"] == 0, r["hash"]) for r in picked.collect()]
+    # bounded by train_rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = rows.select("quality", order.alias("hash"), judgement(F.col("text"), []).alias("statistics"))
+    rows = rows.filter(~F.col("statistics.base_failed"))
+    values = rates(F.col("statistics"))
+    examples = [
+        ({k: r[k] for k in values}, r["quality"] == 0, r["hash"])
+        for r in rows.select("quality", "hash", *(v.alias(k) for k, v in values.items())).collect()
+    ]
     examples.sort(key=lambda x: (x[2], sorted(x[0].items()), x[1]))
     return learn(examples)
 
 
-def judge(rated: DataFrame, rules: list[Rule]) -> DataFrame:
-    """rated with rule (0: none) and kept."""
-    rule = F.when(F.col("statistics.base_failed"), F.lit(0)).otherwise(rejected(rules))
-    return rated.withColumn("rule", rule).withColumn("kept", ~F.col("statistics.base_failed") & (F.col("rule") == 0))
+def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """docs with a struct column `statistics` (see `judgement`)."""
+    return docs.withColumn("statistics", judgement(F.col("text"), rules))

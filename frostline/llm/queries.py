@@ -113,11 +113,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rated = common.written(quality.with_statistics(docs).select("doc_id", "statistics"), "statistics")
-    rules = quality.learn_rules(rated, _table(spark, sf_dir, "labels"))
-    judged = quality.judge(rated, rules)
-    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return judged.select("doc_id", *(f"statistics.{x}" for x in base), "kept", "rule")
+    rules = quality.learn_rules(docs, _table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs, rules)
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return judged.select("doc_id", *(f"statistics.{x}" for x in columns))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
@@ -131,6 +136,7 @@ QUERIES = {
     "op8_compression_distance": op8_compression_distance,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_decision_lists": op10_decision_lists,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {}
