@@ -54,7 +54,7 @@ class Index:
         self.items = [sorted(x) for x in windows.values()]
         self.sizes = np.array([len(x) for x in windows], np.int64)
         words = [w for x in windows for w in x]
-        hashes = common.Words(pa.array([w.decode() for w in words]), _IS_WORD, _FOLD).hashes()
+        hashes = common.Words(pa.array([w.decode() for w in words], pa.string()), _IS_WORD, _FOLD).hashes()
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         self.words = hashes
         self.rarest: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}

@@ -38,8 +38,8 @@ from frostline.llm.rows import with_texts
 TRAIN_PAGES = 400
 TRAIN_CHARS = 100_000
 TRAIN_BLOCKS = 48
-DISGUISES = 3
-EPOCHS = 8
+SHOWN = 1200
+STEPS = 180
 HIDDEN = 20
 PATH_CELLS, WORD_CELLS, FIGURES = 256, 64, 6
 WIDTH = PATH_CELLS + WORD_CELLS + FIGURES
@@ -280,7 +280,7 @@ class Labeller:
         first = {k: np.zeros_like(v) for k, v in self.parameters.items()}
         second = {k: np.zeros_like(v) for k, v in self.parameters.items()}
         step = 0
-        for _ in range(EPOCHS):
+        while step < STEPS:
             order = sorted(range(len(pages)), key=lambda k: (len(pages[k]), rng.random()))
             batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
             for some in (batches[k] for k in rng.permutation(len(batches))):
@@ -322,7 +322,7 @@ def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller | None:
     # short texts stand where menus and notices do
     texts += [" ".join(x.split()[:4]) for x in texts]
     shown = list(known)
-    for _ in range(DISGUISES):
+    while len(shown) < SHOWN:
         shown += [_disguised(page, labels, texts, rng) for page, labels in known]
     labeller = Labeller()
     labeller.fit([vectors(x) for x, _ in shown], [np.array(y, np.float32) for _, y in shown])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import chat, common, decontaminate, html_text, jaccard, language, packing, quality, shards, token_codes, toxicity
+from frostline.llm.oracle import SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,5 +139,3 @@ QUERIES = {
     "op10_decision_lists": op10_decision_lists,
     "pipeline": pipeline,
 }
-
-SQL: dict[str, str] = {}
