@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -56,6 +57,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="frostline-bench-"))
         .config("spark.ui.showConsoleProgress", "false")
         # a feature plan compiles more classes than the default cache holds
         .config("spark.sql.codegen.cache.maxEntries", "2000")

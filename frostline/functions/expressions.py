@@ -114,3 +114,9 @@ def is_anomaly(label: str) -> str:
 def unit_flag(value: str) -> str:
     """A prediction column forced into {0, 1}; missing is 0."""
     return f"least(1, greatest(0, coalesce(CAST({value} AS INT), 0)))"
+
+
+def hour_of(name: str) -> str:
+    """The full hour of a time without zone, whatever the session's zone."""
+    fields = ", ".join(f"{part}(`{name}`)" for part in ("year", "month", "day", "hour"))
+    return f"make_timestamp_ntz({fields}, 0, 0)"

@@ -39,9 +39,13 @@ def score_points(
     scored: DataFrame, *, policy: SplitPolicy = DEFAULT_SPLIT
 ) -> DataFrame:
     """Per distinct score: own positives and negatives, and how many positives
-    (tp) and negatives (fp) score at least as high."""
+    (tp) and negatives (fp) score at least as high. A row without a score is an
+    error: leaving it out would shrink the recall unseen."""
+    missing = F.raise_error(F.lit("a row has no score; fill or drop such rows first"))
+    has_score = F.col("score").isNotNull() & ~F.isnan("score")
+    score = F.when(has_score, F.col("score")).otherwise(missing.cast("double"))
     points = (
-        scored.where(F.col("score").isNotNull() & ~F.isnan("score"))
+        scored.withColumn("score", score)
         .groupBy(DETECTOR, "score")
         .agg(
             F.sum("truth").alias("pos"),
@@ -75,18 +79,19 @@ _FIRST = "tp = pos AND fp = neg"
 def pr_curve(points: DataFrame) -> DataFrame:
     """Precision and recall at every distinct score, plus the end point
     (recall 0, precision 1) that has no threshold."""
-    ends = points.groupBy(DETECTOR).agg(
-        F.lit(None).cast("double").alias("threshold"),
-        F.lit(1.0).alias("precision"),
-        F.lit(0.0).alias("recall"),
-    )
-    curve = points.select(
-        DETECTOR,
+    own = F.struct(
         F.col("score").alias("threshold"),
         F.expr(_PRECISION).alias("precision"),
         F.expr(_RECALL).alias("recall"),
     )
-    return curve.unionByName(ends)
+    end = F.struct(
+        F.lit(None).cast("double").alias("threshold"),
+        F.lit(1.0).alias("precision"),
+        F.lit(0.0).alias("recall"),
+    )
+    # the highest score brings the end point along
+    rows = F.when(F.expr(_FIRST), F.array(own, end)).otherwise(F.array(own))
+    return points.select(DETECTOR, F.inline(rows))
 
 
 def roc_curve(points: DataFrame, *, drop_collinear: bool = True) -> DataFrame:
@@ -99,18 +104,18 @@ def roc_curve(points: DataFrame, *, drop_collinear: bool = True) -> DataFrame:
             " OR lower_pos <> pos OR lower_neg <> neg"
         )
         rows = rows.where(bends)
-    curve = rows.select(
-        DETECTOR,
+    own = F.struct(
         F.col("score").alias("threshold"),
         F.expr("CAST(fp AS DOUBLE) / nullif(neg_all, 0)").alias("fpr"),
         F.expr("CAST(tp AS DOUBLE) / nullif(pos_all, 0)").alias("tpr"),
     )
-    starts = points.groupBy(DETECTOR).agg(
+    start = F.struct(
         F.lit(float("inf")).alias("threshold"),
         F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"),
     )
-    return curve.unionByName(starts)
+    both = F.when(F.expr(_FIRST), F.array(own, start)).otherwise(F.array(own))
+    return rows.select(DETECTOR, F.inline(both))
 
 
 def areas(points: DataFrame) -> DataFrame:

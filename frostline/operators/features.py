@@ -22,6 +22,7 @@ from frostline.operators.series import (
     SplitPolicy,
     lay_out,
 )
+from frostline.sources.telemetry import has_gps
 
 # Rows a feature may reach back: the smoothed mean composes 125 steps, its
 # weights have then faded below double precision.
@@ -290,7 +291,7 @@ def engineer_features(
     position features are 0. Left out, it follows the columns of df.
     """
     if gps is None:
-        gps = {"lat_reported", "lon_reported"} <= set(df.columns)
+        gps = has_gps(df)
     wanted = set(families)
     if "smoothed" in wanted:
         wanted.add("sensor")  # the ratio divides by the rolling deviation

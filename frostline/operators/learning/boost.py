@@ -28,14 +28,6 @@ OPERATIONAL = {
     "tamper": (S.TAMPER_FEATURES, "y_tamper"),
 }
 
-# training tables above this size hold a tenth back and stop when it stops
-# improving
-EARLY_STOP_ROWS = 10_000
-
-# uncalibrated scores are grouped on this grid before the isotonic fit, which
-# gathers its input: at most 10,001 weighted points whatever the table size
-_CALIBRATION_DIGITS = 4
-
 
 def _fit_trees(
     rows: DataFrame, target: str, iterations: int, policy: BoostPolicy, weight: str | None
@@ -53,9 +45,9 @@ def _fit_trees(
     )
     if weight:
         trainer = trainer.setWeightCol(weight)
-    if rows.limit(EARLY_STOP_ROWS + 1).count() > EARLY_STOP_ROWS:
-        held_back = F.pmod(F.xxhash64(S.ROW_ID, F.lit(policy.seed)), F.lit(10)) == 0
-        rows = rows.withColumn("_held_back", held_back)
+    if policy.held_back:
+        share = F.pmod(F.xxhash64(S.ROW_ID, F.lit(policy.seed)), F.lit(10_000))
+        rows = rows.withColumn("_held_back", share < int(10_000 * policy.held_back))
         trainer = trainer.setValidationIndicatorCol("_held_back")
     return trainer.fit(rows)
 
@@ -77,6 +69,7 @@ class CrossFitted:
 
     features: tuple[str, ...]
     members: tuple[tuple[GBTClassificationModel, IsotonicRegressionModel], ...]
+    digits: int | None = None
 
     def score(self, df: DataFrame, output: str) -> DataFrame:
         """Adds the mean calibrated probability of the members."""
@@ -85,7 +78,7 @@ class CrossFitted:
         parts = []
         for n, (trees, calibrator) in enumerate(self.members):
             rows = _raw_score(trees, rows, f"_raw{n}")
-            rows = rows.withColumn(f"_p{n}", _squash(f"_raw{n}"))
+            rows = rows.withColumn(f"_p{n}", _squash(f"_raw{n}", self.digits))
             calibrator = calibrator.setFeaturesCol(f"_p{n}").setPredictionCol(f"_c{n}")
             rows = calibrator.transform(rows)
             parts.append(F.col(f"_c{n}"))
@@ -93,10 +86,10 @@ class CrossFitted:
         return rows.select(*[c for c in columns if c != output], mean.alias(output))
 
 
-def _squash(margin: str):
-    """The trees' own probability, on the grid that calibration uses."""
+def _squash(margin: str, digits: int | None):
+    """The trees' own probability, exact or on a grid."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col(margin)))
-    return F.round(p, _CALIBRATION_DIGITS)
+    return p if digits is None else F.round(p, digits)
 
 
 def fit_operational(
@@ -105,7 +98,9 @@ def fit_operational(
     target: str,
     policy: BoostPolicy = BoostPolicy(),
 ) -> CrossFitted:
-    """One-against-rest detector with isotonic cross-fitted calibration."""
+    """One-against-rest detector with isotonic cross-fitted calibration. Equal
+    scores become one weighted point; the isotonic fit then pools range by range
+    before it gathers what is left."""
     folded = stratified_folds(train, target, policy.folds)
     rows = materialise(
         assemble(folded, features, "_x").select(S.ROW_ID, "_x", target, "fold")
@@ -116,7 +111,7 @@ def fit_operational(
         trees = _fit_trees(base, target, policy.operational_iterations, policy, None)
         left_out = _raw_score(trees, rows.where(F.col("fold") == fold), "_raw")
         points = (
-            left_out.withColumn("_p", _squash("_raw"))
+            left_out.withColumn("_p", _squash("_raw", policy.calibration_digits))
             .groupBy("_p")
             .agg(F.avg(target).alias("_rate"), F.count(F.lit(1)).cast("double").alias("_w"))
         )
@@ -124,7 +119,7 @@ def fit_operational(
             featuresCol="_p", labelCol="_rate", weightCol="_w", predictionCol="_c"
         )
         members.append((trees, isotonic.fit(points)))
-    return CrossFitted(tuple(features), tuple(members))
+    return CrossFitted(tuple(features), tuple(members), policy.calibration_digits)
 
 
 @dataclass(frozen=True)

@@ -108,24 +108,20 @@ def _tree_samples(
     rows: DataFrame, columns: Sequence[str], total: int, order_by: str, policy: ForestPolicy
 ) -> DataFrame:
     """Per tree its own ``sample`` distinct rows, those with the lowest seeded
-    hashes. Rows, then (row, tree) pairs that cannot be among them are dropped
-    before the sort: about four times as many as needed stay."""
-    wanted = policy.trees * policy.sample * 4
-    row_share = max(1, total // wanted)
-    pair_share = max(1, min(total, wanted) // (policy.sample * 4))
-
-    def one_in(share: int, *key) -> Column:
-        return F.pmod(F.xxhash64(*key), F.lit(share)) == 0
-
-    draws = (
-        rows.where(one_in(row_share, order_by, F.lit(policy.seed)))
-        .select(
-            *columns,
-            order_by,
-            F.explode(F.sequence(F.lit(0), F.lit(policy.trees - 1))).alias("tree"),
-        )
-        .where(one_in(pair_share, order_by, "tree", F.lit(policy.seed + 1)))
-        .withColumn("_draw", F.xxhash64(order_by, "tree", F.lit(policy.seed + 2)))
+    hashes, at every size of the table. Hashes above a limit that leaves about
+    four times as many rows as a tree needs cannot be among them, so those pairs
+    of row and tree are never made."""
+    share = min(1.0, 4 * policy.sample / max(1, total))
+    limit = int(share * (1 << 63)) * 2 - (1 << 63) - (share == 1.0)
+
+    def drawn(tree: Column) -> Column:
+        return F.xxhash64(F.col(order_by), tree, F.lit(policy.seed))
+
+    trees = F.filter(
+        F.sequence(F.lit(0), F.lit(policy.trees - 1)), lambda tree: drawn(tree) <= limit
+    )
+    draws = rows.select(*columns, order_by, F.explode(trees).alias("tree")).withColumn(
+        "_draw", drawn(F.col("tree"))
     )
     place = Window.partitionBy("tree").orderBy("_draw", order_by)
     return draws.withColumn("_place", F.row_number().over(place)).where(

@@ -264,7 +264,7 @@ def hourly_labels(
     """Hour by label counts; the label list is given, so no extra pass finds it."""
     return (
         decided.where(F.col(S.RECEIVED).isNotNull())
-        .groupBy(F.date_trunc("HOUR", S.RECEIVED).cast("timestamp_ntz").alias("hour"))
+        .groupBy(F.expr(X.hour_of(S.RECEIVED)).alias("hour"))
         .pivot("operational_label", list(labels))
         .count()
         .na.fill(0, list(labels))

@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        # one machine holds every executor here, so its own folder is shared
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="frostline-checkpoint-"))
-    else:
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a folder that all executors share"
-        )
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local
+    master (one machine holds every executor) gets a folder for its session;
+    a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="frostline-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df once and go on from the written copy. A lost executor then
-    costs a re-read, not a recomputation of the whole history."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df once as Parquet and go on from the written copy: later readers
+    prune its columns, and a lost executor costs a re-read, not a recomputation
+    of the whole history."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,7 +21,7 @@ from frostline.operators.series import measure
 from frostline.operators.storage import materialise
 from frostline.settings import BoostPolicy, DecisionConfig
 from frostline.sources import results
-from frostline.sources.telemetry import read_telemetry
+from frostline.sources.telemetry import has_gps, read_telemetry
 
 
 _TRAINING_KEYS = (S.DEVICE, S.RECEIVED, S.ROW_ID, S.LABEL, "is_augmented", split.VALIDATION)
@@ -40,7 +40,8 @@ def train_detectors(telemetry: DataFrame, policy: BoostPolicy = BoostPolicy()) -
     back, so validation rows may see training rows but not the reverse."""
     sizes = measure(telemetry, [S.DEVICE])
     marked = split.mark_validation(telemetry, sizes=sizes)
-    featured = split.add_targets(engineer_features(marked, sizes=sizes))
+    gps = has_gps(telemetry)
+    featured = split.add_targets(engineer_features(marked, gps=gps, sizes=sizes))
     # only what the models read is written
     inputs = {*S.TEMP_FEATURES, *S.GEO_FEATURES, *S.TAMPER_FEATURES, *S.ATTACK_FEATURES}
     rows = materialise(
@@ -60,11 +61,13 @@ def alert(
 ) -> AlertRun:
     """Score, decide and roll up new telemetry with trained detectors."""
     sizes = measure(telemetry, [S.DEVICE])
-    scored = detectors.score(split.add_targets(engineer_features(telemetry, sizes=sizes)))
+    featured = engineer_features(telemetry, gps=has_gps(telemetry), sizes=sizes)
+    scored = detectors.score(split.add_targets(featured))
     # the models are applied once; decisions and rollups read the written scores
     scored = materialise(scored)
     config = replace(config, thresholds=detectors.thresholds)
-    decided = decide(scored, config, sizes=sizes)
+    # read by the prediction sink, the dashboard and the posture
+    decided = materialise(decide(scored, config, sizes=sizes))
     return AlertRun(
         detectors,
         decided,

@@ -196,6 +196,10 @@ class BoostPolicy:
     min_instances: int = 20
     folds: int = 3
     seed: int = 42
+    # share of the training rows that is held back to stop early; 0 trains on all
+    held_back: float = 0.0
+    # decimal places that scores are pooled at before calibration; None: exact
+    calibration_digits: int | None = None
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from frostline import settings as S
 from frostline.settings import Persistence, Thresholds
-from frostline.sources.telemetry import require_columns
+from frostline.sources.telemetry import as_flag_value, require_columns
 
 PREDICTIONS = "predictions"
 DASHBOARD = "risk_dashboard"
@@ -36,6 +36,20 @@ FINDINGS_SCHEMA = T.StructType(
         T.StructField("epss", T.DoubleType()),
     ]
 )
+DASHBOARD_SCHEMA = T.StructType(
+    [
+        T.StructField("Device_ID", T.StringType()),
+        T.StructField("date", T.DateType()),
+        T.StructField("has_cyber", T.IntegerType()),
+        T.StructField("op_label_top", T.StringType()),
+        T.StructField("max_op_score", T.DoubleType()),
+        T.StructField("risk_mean", T.DoubleType()),
+        T.StructField("cvss", T.DoubleType()),
+        T.StructField("epss", T.DoubleType()),
+        T.StructField("dvd", T.DoubleType()),
+        T.StructField("rec_action", T.StringType()),
+    ]
+)
 METADATA_SCHEMA = T.StructType(
     [
         T.StructField("persistence", T.MapType(T.StringType(), T.IntegerType())),
@@ -102,7 +116,17 @@ def write_metadata(meta: DataFrame, base: str) -> None:
 
 
 def read_metadata(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.schema(METADATA_SCHEMA).json(f"{base}/{METADATA}")
+    """The settings of a run; the JSON may be indented."""
+    return spark.read.schema(METADATA_SCHEMA).json(f"{base}/{METADATA}", multiLine=True)
+
+
+def read_dashboard(
+    spark: SparkSession, base: str, *, format: str = "parquet"
+) -> DataFrame:
+    reader = spark.read.format(format)
+    if format == "csv":
+        reader = reader.option("header", True).schema(DASHBOARD_SCHEMA)
+    return reader.load(f"{base}/{DASHBOARD}")
 
 
 def read_predictions(
@@ -116,20 +140,23 @@ def read_predictions(
             "timestamp": "timestamp_ntz",
             "op_best_score": "double",
             "score_attack_sup": "double",
-            "pred_attack_bin": "int",
         }
         require_columns(raw, S.PREDICTION_COLUMNS)
-        return raw.withColumns({c: F.col(c).try_cast(t) for c, t in typed.items()})
+        columns = {c: F.col(c).try_cast(t) for c, t in typed.items()}
+        return raw.withColumns(columns | {"pred_attack_bin": as_flag_value("pred_attack_bin")})
     return require_columns(
         reader.load(f"{base}/{PREDICTIONS}"), S.PREDICTION_COLUMNS
     )
 
 
-def read_results(spark: SparkSession, base: str) -> dict[str, DataFrame | None]:
-    """Every saved table by name; None for one that was not written."""
+def read_results(
+    spark: SparkSession, base: str, *, format: str = "parquet"
+) -> dict[str, DataFrame | None]:
+    """Every saved table by name; None for one that was not written. ``format``
+    is that of the predictions and the dashboard."""
     readers = {
-        PREDICTIONS: lambda: read_predictions(spark, base),
-        DASHBOARD: lambda: spark.read.parquet(f"{base}/{DASHBOARD}"),
+        PREDICTIONS: lambda: read_predictions(spark, base, format=format),
+        DASHBOARD: lambda: read_dashboard(spark, base, format=format),
         INITIAL_POSTURE: lambda: spark.read.parquet(f"{base}/{INITIAL_POSTURE}"),
         FINAL_POSTURE: lambda: spark.read.parquet(f"{base}/{FINAL_POSTURE}"),
         METADATA: lambda: read_metadata(spark, base),

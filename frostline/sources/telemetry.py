@@ -45,18 +45,26 @@ def parse_timestamp(df: DataFrame, name: str, pattern: str | None) -> Column:
     return F.try_to_timestamp(col, F.lit(pattern)).cast("timestamp_ntz")
 
 
+_DEFAULTED = "defaulted"
+
+
+def carried(df: DataFrame, name: str) -> bool:
+    """Whether the source itself has the column; defaults are marked as such."""
+    return name in df.columns and not df.schema[name].metadata.get(_DEFAULTED, False)
+
+
 def has_gps(df: DataFrame) -> bool:
-    """Whether the source itself carries positions (ask before defaults)."""
-    return {"lat_reported", "lon_reported"} <= set(df.columns)
+    """Whether the source itself carries positions."""
+    return carried(df, "lat_reported") and carried(df, "lon_reported")
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
-    """Absent optional columns added; nulls in present ones stay."""
+    """Absent optional columns added and marked; nulls in present ones stay."""
     defaults: dict[str, Column] = {S.REPORTED: F.lit(None).cast("timestamp_ntz")}
     defaults |= {c: F.lit(0.0) for c in (*S.POSTURE_MEASURES, *S.SENSOR_MEASURES)}
     defaults |= {c: F.lit(0) for c in S.INTEGER_FLAGS}
-    absent = {n: c for n, c in defaults.items() if n not in df.columns}
-    return df.withColumns(absent) if absent else df
+    absent = [c.alias(n, metadata={_DEFAULTED: True}) for n, c in defaults.items() if n not in df.columns]
+    return df.select("*", *absent) if absent else df
 
 
 def normalise_device(df: DataFrame, *, missing_as: str | None = None) -> DataFrame:
@@ -68,6 +76,11 @@ def normalise_device(df: DataFrame, *, missing_as: str | None = None) -> DataFra
     return df.withColumn(S.DEVICE, device)
 
 
+def as_flag_value(name: str) -> Column:
+    """A whole number, also where it is written as a decimal one."""
+    return F.col(name).try_cast("double").try_cast("int")
+
+
 def normalise(
     df: DataFrame,
     *,
@@ -79,12 +92,11 @@ def normalise(
     rows = normalise_device(df, missing_as=missing_device)
     times = [c for c in (S.RECEIVED, S.REPORTED) if c in df.columns]
     typed = {c: parse_timestamp(df, c, timestamp_pattern) for c in times}
-    for names, kind in (
-        ((*S.POSTURE_MEASURES, *S.SENSOR_MEASURES), "double"),
-        (S.INTEGER_FLAGS, "int"),
-    ):
-        typed |= {c: F.col(c).try_cast(kind) for c in names if c in df.columns}
-    rows = nan_to_null(with_defaults(rows.withColumns(typed)))
+    measures = (*S.POSTURE_MEASURES, *S.SENSOR_MEASURES)
+    typed |= {c: F.col(c).try_cast("double") for c in measures if c in df.columns}
+    # an integer column with gaps is often written as 1.0 and 0.0
+    typed |= {c: as_flag_value(c) for c in S.INTEGER_FLAGS if c in df.columns}
+    rows = with_defaults(nan_to_null(rows.withColumns(typed)))
     if S.ROW_ID not in rows.columns:
         # follows file and line order, so equal times keep their input order
         rows = rows.withColumn(S.ROW_ID, F.monotonically_increasing_id())
@@ -110,14 +122,15 @@ def read_telemetry(
 
 
 def feature_availability(df: DataFrame) -> DataFrame:
-    """One row: positions present, any reported time known, tamper present."""
+    """One row: positions present, any reported time known, tamper present, as
+    the table stands (defaults count as present)."""
     reported = (
         F.coalesce(F.max(F.col(S.REPORTED).isNotNull()), F.lit(False))
         if S.REPORTED in df.columns
         else F.lit(False)
     )
     return df.agg(
-        F.lit(has_gps(df)).alias("gps"),
+        F.lit({"lat_reported", "lon_reported"} <= set(df.columns)).alias("gps"),
         reported.alias("timestamp_reported"),
         F.lit("tamper_reported" in df.columns).alias("tamper_reported"),
     )

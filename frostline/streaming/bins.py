@@ -31,10 +31,14 @@ def stream_time_bins(
     predictions: DataFrame, minutes: int = 5, lateness: str = "10 minutes"
 ) -> DataFrame:
     """Tumbling bins that are emitted once, when no more rows can reach them.
-    Event-time watermarks need zoned times; the bins come out as they went in."""
-    zoned = predictions.withColumn(S.RECEIVED, F.col(S.RECEIVED).cast("timestamp"))
+    Event-time watermarks need zoned times: times without zone are read as UTC
+    and written as UTC, whatever the session's zone."""
+    fields = ", ".join(f"{x}(`{S.RECEIVED}`)" for x in ("year", "month", "day", "hour", "minute"))
+    seconds = f"extract(SECOND FROM `{S.RECEIVED}`)"
+    zoned = predictions.withColumn(S.RECEIVED, F.expr(f"make_timestamp({fields}, {seconds}, 'UTC')"))
     bins = time_bins(zoned.withWatermark(S.RECEIVED, lateness), minutes)
-    return bins.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    start = "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(timestamp))"
+    return bins.withColumn("timestamp", F.expr(start))
 
 
 def write_time_bins(

@@ -109,3 +109,10 @@ def test_report_covers_classes_of_either_side(spark):
     assert rows["a"]["f1"] == pytest.approx(0.667) and rows["accuracy"]["f1"] == 0.5
     assert rows["macro avg"]["precision"] == 0.5 and rows["weighted avg"]["precision"] == 0.75
     assert rows["accuracy"]["support"] == 4
+
+
+@pytest.mark.parametrize("score", [None, float("nan")])
+def test_a_row_without_score_is_an_error(spark, score):
+    df = spark.createDataFrame([("d", score, 1), ("d", 0.5, 0)], "detector string, score double, truth int")
+    with pytest.raises(Exception, match="a row has no score"):
+        E.score_points(df).collect()

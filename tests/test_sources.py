@@ -1,10 +1,13 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from frostline import settings as S
 from frostline.operators.decisions import decide
+from frostline.operators import rollups, split
+from frostline.operators.features import engineer_features
 from frostline.operators.rollups import risk_dashboard, update_posture
 from frostline.plans import fixture
 from frostline.settings import DecisionConfig, Persistence, Thresholds
@@ -129,3 +132,52 @@ def test_saved_predictions_must_be_complete(spark, tmp_path):
         results.read_predictions(spark, str(tmp_path))
     with pytest.raises(ValueError):
         require_columns(spark.range(1), ["absent"])
+
+
+@pytest.fixture(params=["UTC", "America/New_York"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_flags_written_as_decimals(spark, tmp_path, zone):
+    header = "Device_ID,timestamp,primary_label_reported,tamper_reported,is_augmented\n"
+    rows = "A,2024-01-01,normal,1.0,0.0\nA,2024-01-02,normal,,1\nA,2024-01-03,normal,x,0\n"
+    df = read_telemetry(spark, _write(tmp_path / "f.csv", header + rows))
+    found = [(r["tamper_reported"], r["is_augmented"]) for r in df.orderBy("timestamp").collect()]
+    assert found == [(1, 0), (None, 1), (None, 0)]
+    assert split.without_augmented(df).count() == 2
+
+
+def test_missing_positions_are_not_standing_still(spark, tmp_path, zone):
+    header = "Device_ID,timestamp,primary_label_reported\n"
+    lines = "".join(f"A,2024-01-01 00:0{k}:00,normal\n" for k in range(5))
+    df = read_telemetry(spark, _write(tmp_path / "g.csv", header + lines))
+    assert not has_gps(df) and {"lat_reported", "lon_reported"} <= set(df.columns)
+    assert {r["gps_repeat_count"] for r in engineer_features(df).collect()} == {0}
+    kept = df.withColumn("more", F.lit(1)).select("*")
+    assert not has_gps(kept)
+
+
+def test_hours_do_not_follow_the_session_zone(spark, zone):
+    df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00' AS timestamp, 'normal' AS operational_label")
+    assert rollups.hourly_labels(df).first()["hour"] == datetime(2024, 3, 10, 2)
+
+
+def test_indented_metadata_reads_back(spark, tmp_path, zone):
+    folder = tmp_path / "run" / results.METADATA
+    folder.mkdir(parents=True)
+    text = json.dumps({"persistence": {"temp": 4}, "thresholds": {"temp": 0.5}, "notes": "n"}, indent=2)
+    (folder / "part.json").write_text(text)
+    rows = results.read_metadata(spark, str(tmp_path / "run")).collect()
+    assert len(rows) == 1 and rows[0]["persistence"] == {"temp": 4} and rows[0]["thresholds"] == {"temp": 0.5}
+
+
+def test_csv_dashboard_reads_back(spark, tmp_path, zone):
+    row = ("D1", date(2024, 3, 10), 1, "normal", 0.5, 0.25, 8.0, 0.5, 2.0, "MONITOR")
+    df = spark.createDataFrame([row], results.DASHBOARD_SCHEMA)
+    results.write_dashboard(df, str(tmp_path / "out"), format="csv")
+    found = results.read_results(spark, str(tmp_path / "out"), format="csv")[results.DASHBOARD]
+    assert found.dtypes == df.dtypes and [tuple(r) for r in found.collect()] == [row]
