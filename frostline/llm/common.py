@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,7 +37,22 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     re-read of files, not a recomputation."""
     path = new_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.frostline_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more, and let Spark drop
+    the shuffle files of plans that are gone: it does so when the driver collects
+    its garbage, which may be long after a large step."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.frostline_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -136,7 +136,7 @@ def parities(own: np.ndarray) -> np.ndarray:
 
 def _sketch(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = SizeClasses(percent)
+        classes, seen = SizeClasses(percent), {0}
         for batch in batches:
             for block in common.text_blocks(batch):
                 counts, keys, bits, signs, ends = [], [], [], [], [0]
@@ -144,9 +144,13 @@ def _sketch(percent: int, size: int):
                     counts.append(len(own))
                     keys.append(set_key(own))
                     bits.append(parities(own).tolist())
-                    if len(own):
+                    if keys[-1] in seen:
+                        # copies of a set sign once per task
+                        ends.append(ends[-1])
+                    else:
+                        seen.add(keys[-1])
                         signs.append(common.signed(signatures(own, classes)))
-                    ends.append(ends[-1] + (len(signs[-1]) if len(own) else 0))
+                        ends.append(ends[-1] + len(signs[-1]))
                 values = np.concatenate(signs) if signs else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -236,7 +240,9 @@ def _some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     table = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     rows = docs.withColumns({"word": word, "bit": bit}).join(F.broadcast(table), "word")
     rows = rows.filter(F.getbit("bits", F.col("bit")) == 1).select(*docs.columns)
-    return rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    # an inner join, as a semi join would be moved before the filter
+    wanted = ids.select(F.col("doc_id").alias("wanted"))
+    return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["wanted"])).drop("wanted")
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -271,13 +277,12 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
-    """(class, label) for all classes in `members` (sign, class)."""
-    some = members.select("class").distinct()
-    labels = common.written(some.withColumn("label", F.col("class")), "labels")
-    sketches = common.written(classes.join(some, "class", "left_semi"), "candidates")
+    """(class, label) for all classes in `members` (sign, class). Every round
+    goes on with the signatures whose members still have several labels."""
+    labels = common.written(classes.select("class", F.col("class").alias("label")), "labels")
     tested = None
     for number in range(HUB_ROUNDS + 1):
-        here = members.join(labels, "class")
+        here = members.join(labels, "class") if number else members.withColumn("label", F.col("class"))
         open_signs = here.groupBy("sign").agg(
             F.min("label").alias("low"),
             F.max("label").alias("high"),
@@ -287,6 +292,8 @@ def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, perce
             "sign", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label")
         )
         here = common.written(here.join(open_signs, "sign"), "open")
+        common.discard(members)
+        members = here
         if here.isEmpty():
             break
         if number < HUB_ROUNDS:
@@ -300,13 +307,16 @@ def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, perce
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = common.written(possible(pairs, sketches, percent), "possible")
+        near = common.written(possible(pairs, classes, percent), "possible")
         ends = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        texts = _some_texts(docs, sketches.join(ends, "class", "left_semi").select("doc_id").distinct())
+        texts = _some_texts(docs, classes.join(ends, "class", "left_semi").select("doc_id").distinct())
         grams = partial_rows(texts, ["text"], "class long, n long, part int, grams array<long>", _fragments(size))
-        grams = grams.join(ends, "class", "left_semi").dropDuplicates(["class", "part"])
-        links = linked(near, common.written(grams, "fragments"), percent)
-        labels = components(labels, common.written(links, "links"))
+        grams = common.written(grams.join(ends, "class", "left_semi").dropDuplicates(["class", "part"]), "fragments")
+        links = common.written(linked(near, grams, percent), "links")
+        common.discard(grams)
+        labels = components(labels, links)
+        members = here.select("sign", "class")
+        members.frostline_path = here.frostline_path
     return labels
 
 
@@ -322,10 +332,12 @@ def _members(rows: DataFrame, percent: int) -> DataFrame:
     sizes = SizeClasses(percent)
     spare = F.get(F.array(*(F.lit(sizes.fragments(x)[2]) for x in range(CLASSES))), F.col("number"))
     number = F.col("sign").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
-    shared = shared.withColumns({"number": number, "prefix": F.col("sign").bitwiseAND(F.lit(PREFIX_KIND)) != 0})
+    marked = shared.withColumns({"number": number, "prefix": F.col("sign").bitwiseAND(F.lit(PREFIX_KIND)) != 0})
     order = Window.partitionBy("class", "number", "prefix").orderBy(F.desc("times"), "sign")
-    kept = shared.withColumn("rank", F.row_number().over(order)).filter(F.col("prefix") | (F.col("rank") > spare))
-    return common.written(kept.select("sign", "class"), "members")
+    kept = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("prefix") | (F.col("rank") > spare))
+    members = common.written(kept.select("sign", "class"), "members")
+    common.discard(shared)
+    return members
 
 
 def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
@@ -333,21 +345,26 @@ def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
     doc_id that links reach)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, class long, parities array<long>, signs array<long>"
-    rows = common.written(partial_rows(docs, ["doc_id", "text"], schema, _sketch(percent, size)), "sketches")
-    some = rows.filter("n_shingles > 0")
-    firsts = common.written(some.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    first = (rows["class"] == firsts["class"]) & rows["doc_id"].eqNullSafe(firsts["doc_id"])
-    one = some.join(firsts, first, "left_semi")
-    members = _members(one, percent)
-    classes = one.select("class", "doc_id", F.col("n_shingles").alias("n"), "parities").dropDuplicates(["class"])
+    sketches = common.written(partial_rows(docs, ["doc_id", "text"], schema, _sketch(percent, size)), "sketches")
+    members = _members(sketches, percent)
+    some = members.select("class").distinct()
+    classes = (
+        sketches.join(some, "class", "left_semi")
+        .groupBy("class")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("parities").alias("parities"))
+    )
+    classes = common.written(classes, "classes")
+    rows = common.written(sketches.select("doc_id", "n_shingles", "class"), "rows")
+    common.discard(sketches)
     labels = _class_labels(docs, members, classes, percent, size)
+    # a class that shares no signature is its own component
+    firsts = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     groups = firsts.join(labels, "class", "left").select(
         "class", F.coalesce("label", "class").alias("label"), "doc_id"
     )
+    groups = common.written(groups, "groups")
     smallest = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = common.written(groups.join(smallest, "label").select("class", "component_id"), "components")
-    return (
-        rows.select("doc_id", "n_shingles", "class")
-        .join(found, "class", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = groups.join(smallest, "label").select("class", "component_id")
+    return rows.join(found, "class", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
