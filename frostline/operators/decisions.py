@@ -88,21 +88,14 @@ def device_series(
 
 
 # -- labels and actions -----------------------------------------------------
-_CANDIDATES = (
-    (S.STORAGE, "pred_temp_bin", "score_temp"),
-    (S.GEOFENCE, "pred_geo_bin", "score_geo"),
-    (S.TAMPER, "pred_tamper_bin", "score_tamper"),
-)
-
-
 def operational_decision() -> dict[str, str]:
     """Label and score of the flagged detector with the highest score; on equal
     scores the earlier of temperature, geofence, tamper; (normal, 0) if none."""
-    bids = [f"IF({flag} = 1, {score}, -1D)" for _, flag, score in _CANDIDATES]
+    bids = [f"IF({flag} = 1, {score}, -1D)" for _, flag, score in S.CANDIDATES]
     best = f"greatest({', '.join(bids)})"
     choices = " ".join(
         f"WHEN {bid} = {best} THEN {X.text(label)}"
-        for bid, (label, _, _) in zip(bids, _CANDIDATES)
+        for bid, (label, _, _) in zip(bids, S.CANDIDATES)
     )
     return {
         "operational_label": f"CASE WHEN {best} < 0D THEN {X.text(S.NORMAL)} {choices} END",

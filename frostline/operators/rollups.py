@@ -259,15 +259,24 @@ def top_labels(decided: DataFrame, k: int = 3) -> DataFrame:
 
 
 def hourly_labels(
-    decided: DataFrame, labels: Sequence[str] = (S.NORMAL, *S.OPERATIONAL_LABELS)
+    decided: DataFrame,
+    labels: Sequence[str] = (S.NORMAL, *S.OPERATIONAL_LABELS),
+    device: str | None = None,
 ) -> DataFrame:
-    """Hour by label counts; the label list is given, so no extra pass finds it."""
+    """Hour by label counts, of all devices or one. The label list is given, so
+    no extra pass finds it; labels outside it, and none, count as `other`."""
+    if device is not None:
+        decided = decided.where(F.col(S.DEVICE) == device)
+    known = F.col("operational_label").isin(*labels)
+    label = F.when(known, F.col("operational_label")).otherwise(F.lit("other"))
+    labels = [*labels, "other"]
     return (
         decided.where(F.col(S.RECEIVED).isNotNull())
+        .withColumn("operational_label", label)
         .groupBy(F.expr(X.hour_of(S.RECEIVED)).alias("hour"))
-        .pivot("operational_label", list(labels))
+        .pivot("operational_label", labels)
         .count()
-        .na.fill(0, list(labels))
+        .na.fill(0, labels)
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,11 @@ from frostline.operators.learning.fusion import fit_fusion
 from frostline.operators.learning.matrix import Scaling, stratified_folds
 from frostline.operators.lookups import attach_per_device, replace_posture
 from frostline.operators.series import SplitPolicy
-from frostline.operators.storage import materialise
+from frostline.operators.storage import materialise, new_path
 from frostline.plans import fixture, oracle
 from frostline.plans.shapes import SINGLE, Shape, exact, present, present_sql, rounded
-from frostline.settings import BoostPolicy, DecisionConfig, RiskPolicy
+from frostline.settings import BoostPolicy, DecisionConfig, RiskPolicy, SweepBetas
+from frostline.sources import results
 from frostline.sources import telemetry as source
 
 CONFIG = DecisionConfig(thresholds=fixture.FIXTURE_THRESHOLDS)
@@ -146,6 +147,61 @@ _register(
     """(SELECT true AS gps, bool_or(timestamp_reported IS NOT NULL) AS timestamp_reported,
         true AS tamper_reported FROM scored)""",
 )
+
+
+# -- what a user keeps in files: written from the given tables, read back ------------
+def _telemetry_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV export with decimal flags and without positions."""
+    path = new_path(spark, "telemetry-csv")
+    rows = fixture.telemetry(spark, sf_dir).drop("lat_reported", "lon_reported")
+    flags = {c: F.col(c).cast("double") for c in S.INTEGER_FLAGS}
+    as_text = {c: F.col(c).cast("string") for c in (S.RECEIVED, S.REPORTED)}
+    rows.withColumns(flags | as_text).write.csv(path, header=True)
+    back = source.read_telemetry(spark, path)
+    return back.withColumn(S.ROW_ID, F.col(S.ROW_ID).cast("long"))
+
+
+def _posture_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "posture-csv")
+    columns = [f.name for f in results.POSTURE_SCHEMA.fields[:-1]]
+    rows = fixture.posture(spark, sf_dir).select(*columns, F.lit(0).alias("nist_gap_count"))
+    rows.write.csv(path, header=True)
+    return results.read_posture(spark, path)
+
+
+def _predictions_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "predictions")
+    results.write_predictions(_decided(spark, sf_dir), path)
+    return results.read_predictions(spark, path)
+
+
+def _dashboard_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "dashboard")
+    results.write_dashboard(rollups.risk_dashboard(_decided(spark, sf_dir)), path, format="csv")
+    return results.read_results(spark, path, format="csv")[results.DASHBOARD]
+
+
+def _posture_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "posture")
+    initial = fixture.posture(spark, sf_dir)
+    results.write_posture(initial, rollups.update_posture(initial, _decided(spark, sf_dir)), path)
+    return results.read_results(spark, path)[results.FINAL_POSTURE]
+
+
+_register(
+    "telemetry_csv",
+    _telemetry_csv,
+    TELEMETRY_SHAPE,
+    oracle.TELEMETRY,
+    "(SELECT * REPLACE (0e0 AS lat_reported, 0e0 AS lon_reported) FROM scored)",
+)
+_register(
+    "posture_csv",
+    _posture_csv,
+    exact(S.DEVICE, *S.POSTURE_MEASURES),
+    oracle.DAYS,
+    "posture",
+)
 _register(
     "posture_scan",
     fixture.posture,
@@ -308,10 +364,10 @@ SENSOR_SHAPE = KEYS | {
 SMOOTHED_SHAPE = (
     KEYS
     | rounded(["temp_resid", "hum_resid"])
-    | rounded(["temp_resid_std_ratio", "hum_resid_std_ratio"], 2)
+    | rounded(["temp_resid_std_ratio", "hum_resid_std_ratio"], 4)
 )
 KINEMATIC_SHAPE = KEYS | {
-    c: None if c == "teleport_flag" else 4 for c in features.KINEMATIC
+    c: None if c == "teleport_flag" else 6 for c in features.KINEMATIC
 }
 REPLAY_SHAPE = KEYS | exact("dup_flag") | rounded(["dup_ratio_5", "dup_ratio_10"])
 GPS_SHAPE = KEYS | exact(*features.GPS)
@@ -437,6 +493,7 @@ DECISION_SHAPE = KEYS | exact(
     "high_risk", "operational_label", "op_best_score", "recommended_action",
 ) | rounded(["thr_attack", "risk_score_combined"])
 _register("decisions", _decided, DECISION_SHAPE, oracle.DECIDED, "decided")
+_register("predictions_saved", _predictions_back, DECISION_SHAPE, oracle.DECIDED, "decided")
 _register(
     "decisions_long_series",
     _on_scored(lambda df: decisions.decide(df, CONFIG, policy=MANY_PIECES)),
@@ -513,6 +570,7 @@ _register(
     "device_day_risk", _on_decided(rollups.risk_dashboard), DASHBOARD_SHAPE,
     oracle.DASHBOARD, "dashboard",
 )
+_register("dashboard_saved_as_csv", _dashboard_back, DASHBOARD_SHAPE, oracle.DASHBOARD, "dashboard")
 _register(
     "modal_label_per_day",
     _on_decided(
@@ -604,6 +662,7 @@ DELTA_SHAPE = {c: p for c, p in POSTURE_SHAPE.items() if c != "cyber_total"} | r
     [f"delta_{c}" for c in S.POSTURE_MEASURES]
 )
 _register("posture_update", _on_posture(lambda df: df), POSTURE_SHAPE, oracle.DAYS, "updated")
+_register("posture_saved", _posture_back, POSTURE_SHAPE, oracle.DAYS, "updated")
 _register(
     "posture_deltas",
     _on_posture(lambda df: rollups.by_increase(rollups.posture_deltas(df))),
@@ -756,17 +815,26 @@ hourly AS (
     count(*) FILTER (operational_label = 'Loss_of_storage_condition')
       AS "Loss_of_storage_condition",
     count(*) FILTER (operational_label = 'Geofence_anomaly') AS "Geofence_anomaly",
-    count(*) FILTER (operational_label = 'Tamper_Damage_anomaly') AS "Tamper_Damage_anomaly"
+    count(*) FILTER (operational_label = 'Tamper_Damage_anomaly') AS "Tamper_Damage_anomaly",
+    count(*) FILTER (operational_label IS NULL OR operational_label NOT IN ('normal',
+      'Loss_of_storage_condition', 'Geofence_anomaly', 'Tamper_Damage_anomaly')) AS other
   FROM decided GROUP BY 1
 )"""
 )
 _register(
     "hourly_labels",
     _on_decided(rollups.hourly_labels),
-    exact("hour", S.NORMAL, *S.OPERATIONAL_LABELS),
+    exact("hour", S.NORMAL, *S.OPERATIONAL_LABELS, "other"),
     _HOURLY_SQL,
     "hourly",
 )
+_register(
+    "hourly_labels_of_device",
+    _on_decided(lambda df: rollups.hourly_labels(df, device="D001")),
+    exact("hour", S.NORMAL, *S.OPERATIONAL_LABELS, "other"),
+    _HOURLY_SQL.replace("FROM decided GROUP", "FROM decided WHERE \"Device_ID\" = 'D001' GROUP"),
+    "hourly",
+)
 _register(
     "hourly_labels_long",
     _on_decided(lambda df: rollups.long_labels(rollups.hourly_labels(df))),
@@ -841,7 +909,7 @@ SCORES = {
     "tamper": ("score_tamper", "y_tamper"),
     "attack": ("score_attack_sup", "y_attack"),
 }
-BETAS = {"temp": 1.3, "geo": 1.3, "tamper": 2.0, "attack": 1.0}
+BETAS = asdict(SweepBetas())
 
 
 def _on_points(step: Callable[[DataFrame], DataFrame], policy: SplitPolicy = SplitPolicy()):

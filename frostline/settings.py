@@ -23,6 +23,13 @@ CYBER = "Cyberattack_anomaly"
 OPERATIONAL_LABELS = (STORAGE, GEOFENCE, TAMPER)
 LABELS = (NORMAL, STORAGE, GEOFENCE, TAMPER, CYBER)
 
+# ---- fixed values: candidates for an operational label ---------------------
+CANDIDATES = (
+    (STORAGE, "pred_temp_bin", "score_temp"),
+    (GEOFENCE, "pred_geo_bin", "score_geo"),
+    (TAMPER, "pred_tamper_bin", "score_tamper"),
+)
+
 # ---- fixed values: actions ------------------------------------------------
 ISOLATE = "ISOLATE_DEVICE"
 RECOVER = "PRIORITY_RECOVERY"
