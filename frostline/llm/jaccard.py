@@ -19,9 +19,9 @@ This drops the signatures of passages that many texts share.
 Verification. The order is cut into `FRAGMENTS` fixed fragments. Each candidate
 pair's overlap is counted in every fragment separately and summed per pair;
 lengths and the sum decide. Before that, a short sketch turns away most pairs
-that cannot be similar: the order is also cut into 1024 cells, and a bit tells
-whether a set has an odd number of shingles in a cell. Two sets differ in at
-least as many shingles as in bits.
+that cannot be similar: shingles are dealt into cells, at least as many as there
+are shingles, and a bit tells whether a set has an odd number of them in a cell.
+Two sets differ in at least as many shingles as in bits.
 
 Groups. Equal sets are one class throughout. Members of one signature are not
 paired with each other: each is compared with one hub, links are joined into
@@ -57,6 +57,7 @@ HUB_ROUNDS = 3
 FILTER_WORDS = 1 << 15
 SMALLEST_CLASS, CLASS_RATIO = 8, 1.5
 CLASSES, PREFIX_KIND = 64, 64
+LEAST_CELLS = 1024
 
 _IS_WORD = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
 _FOLD = np.array([x + 32 if 0x41 <= x <= 0x5A else x for x in range(256)], np.uint8)
@@ -128,10 +129,13 @@ def signatures(own: np.ndarray, classes: SizeClasses) -> np.ndarray:
     return np.concatenate(found)
 
 
-def parities(own: np.ndarray) -> np.ndarray:
-    """1024 bits: is the number of shingles in a cell odd."""
-    odd = np.bincount((own >> np.uint64(8)).astype(np.int64) & 1023, minlength=1024) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parities(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Is the number of shingles in a cell odd: a bit per cell, with a cell or
+    more per shingle, and the same for half as many cells."""
+    cells = max(LEAST_CELLS, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount((own >> np.uint64(8)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    half = odd[: cells // 2] ^ odd[cells // 2 :]
+    return tuple(np.packbits(x.astype(np.uint8)).view(np.int64) for x in (odd, half))
 
 
 def _sketch(percent: int, size: int):
@@ -139,11 +143,12 @@ def _sketch(percent: int, size: int):
         classes, seen = SizeClasses(percent), {0}
         for batch in batches:
             for block in common.text_blocks(batch):
-                counts, keys, bits, signs, ends = [], [], [], [], [0]
+                counts, keys, fine, coarse, signs, ends = [], [], [], [], [], [0]
                 for own in shingle_sets(block.column("text"), size):
                     counts.append(len(own))
                     keys.append(set_key(own))
-                    bits.append(parities(own).tolist())
+                    for column, bits in zip((fine, coarse), parities(own), strict=True):
+                        column.append(bits)
                     if keys[-1] in seen:
                         # copies of a set sign once per task
                         ends.append(ends[-1])
@@ -157,10 +162,11 @@ def _sketch(percent: int, size: int):
                         block.column("doc_id"),
                         pa.array(counts, pa.int64()),
                         pa.array(keys, pa.int64()),
-                        pa.array(bits, pa.list_(pa.int64())),
+                        pa.array(fine, pa.list_(pa.int64())),
+                        pa.array(coarse, pa.list_(pa.int64())),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "class", "parities", "signs"],
+                    names=["doc_id", "n_shingles", "class", "fine", "coarse", "signs"],
                 )
 
     return run
@@ -200,12 +206,19 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     def side(name: str) -> DataFrame:
         return sketches.select(
-            F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("parities").alias(f"bits_{name}")
+            F.col("class").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("n", "fine", "coarse"))
         )
 
+    def bits(name: str, other: str) -> Column:
+        # sizes that are near enough have equal numbers of cells or twice as many
+        finer = F.size(f"fine_{name}") > F.size(f"fine_{other}")
+        return F.when(finer, F.col(f"coarse_{name}")).otherwise(F.col(f"fine_{name}"))
+
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     different = F.aggregate(
-        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+        F.zip_with(bits("a", "b"), bits("b", "a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda n, x: n + x,
     )
     sizes = F.col("n_a") + F.col("n_b")
     near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
@@ -278,44 +291,57 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """(class, label) for all classes in `members` (sign, class). Every round
-    goes on with the signatures whose members still have several labels."""
+    goes on with the signatures whose members still have several labels; of
+    signatures with the same members, one."""
+
+    def near(n: Column, other: Column) -> Column:
+        return (n * 100 >= other * percent) & (other * 100 >= n * percent)
+
     labels = common.written(classes.select("class", F.col("class").alias("label")), "labels")
     tested = None
     for number in range(HUB_ROUNDS + 1):
-        here = members.join(labels, "class") if number else members.withColumn("label", F.col("class"))
+        if number:
+            here = members.join(labels, "class")
+        else:
+            here = members.join(classes.select("class", "n"), "class").withColumn("label", F.col("class"))
+        draw = F.xxhash64("class", F.lit(number))
+        hashed = F.xxhash64("class", F.lit("members"))
         open_signs = here.groupBy("sign").agg(
             F.min("label").alias("low"),
             F.max("label").alias("high"),
-            F.min(F.struct(F.xxhash64("class", F.lit(number)), F.col("class"), F.col("label"))).alias("hub"),
-        )
-        open_signs = open_signs.filter("low <> high").select(
-            "sign", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label")
+            F.count("*").alias("size"),
+            F.bit_xor(hashed).alias("members"),
+            F.min(F.struct(draw.alias("draw"), "class", "label", "n")).alias("hub"),
         )
+        open_signs = open_signs.filter("low <> high").groupBy("hub", "size", "members").agg(F.min("sign").alias("sign"))
+        open_signs = open_signs.select("sign", *(F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("class", "label", "n")))
         here = common.written(here.join(open_signs, "sign"), "open")
         common.discard(members)
         members = here
         if here.isEmpty():
             break
         if number < HUB_ROUNDS:
-            pairs = here.filter("label <> hub_label").select(F.col("class").alias("x"), F.col("hub").alias("y"))
+            pairs = here.filter((F.col("label") != F.col("hub_label")) & near(F.col("n"), F.col("hub_n")))
+            pairs = pairs.select(F.col("class").alias("x"), F.col("hub_class").alias("y"))
         else:
-            left = here.select("sign", F.col("class").alias("x"), F.col("label").alias("p"))
-            right = here.select("sign", F.col("class").alias("y"), F.col("label").alias("q"))
-            pairs = left.join(right, "sign").filter("p < q").select("x", "y")
+            left = here.select("sign", F.col("class").alias("x"), F.col("label").alias("p"), F.col("n").alias("n_x"))
+            right = here.select(F.col("sign").alias("same"), F.col("class").alias("y"), F.col("label").alias("q"), F.col("n").alias("n_y"))
+            across = (F.col("sign") == F.col("same")) & (F.col("p") < F.col("q")) & near(F.col("n_x"), F.col("n_y"))
+            pairs = left.join(right, across).select("x", "y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = common.written(possible(pairs, classes, percent), "possible")
-        ends = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        likely = common.written(possible(pairs, classes, percent), "possible")
+        ends = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         texts = _some_texts(docs, classes.join(ends, "class", "left_semi").select("doc_id").distinct())
         grams = partial_rows(texts, ["text"], "class long, n long, part int, grams array<long>", _fragments(size))
         grams = common.written(grams.join(ends, "class", "left_semi").dropDuplicates(["class", "part"]), "fragments")
-        links = common.written(linked(near, grams, percent), "links")
+        links = common.written(linked(likely, grams, percent), "links")
         common.discard(grams)
         labels = components(labels, links)
-        members = here.select("sign", "class")
+        members = here.select("sign", "class", "n")
         members.frostline_path = here.frostline_path
     return labels
 
@@ -344,14 +370,14 @@ def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest
     doc_id that links reach)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, class long, parities array<long>, signs array<long>"
+    schema = "doc_id long, n_shingles long, class long, fine array<long>, coarse array<long>, signs array<long>"
     sketches = common.written(partial_rows(docs, ["doc_id", "text"], schema, _sketch(percent, size)), "sketches")
     members = _members(sketches, percent)
     some = members.select("class").distinct()
     classes = (
         sketches.join(some, "class", "left_semi")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("parities").alias("parities"))
+        .agg(F.min("doc_id").alias("doc_id"), *(F.max(x).alias(y) for x, y in (("n_shingles", "n"), ("fine", "fine"), ("coarse", "coarse"))))
     )
     classes = common.written(classes, "classes")
     rows = common.written(sketches.select("doc_id", "n_shingles", "class"), "rows")

@@ -12,8 +12,8 @@ regression on the labelled documents.
 
 Learning reads at most about `TRAIN_ROWS` labelled documents of each class, taken
 by a hash of doc_id. The driver gets bounded samples only: words above the
-contrast (`PASSAGES` at most, the strongest), `ORDINARY_WINDOWS` windows, and the
-five figures of each training document. Scoring reads every whole text once and
+contrast (`PASSAGES` at most, the strongest), about `ORDINARY_WINDOWS` windows, and
+the five figures of each training document. Scoring reads every whole text once and
 shuffles nothing.
 
 Edge cases: a null or empty text has no windows and gets the calibrated score of
@@ -156,8 +156,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     sampled = words.filter("toxic = 0").select(
         "doc_id", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, SAMPLE_WORDS), " ")))
     )
-    sampled = sampled.select("col").distinct().orderBy(F.xxhash64("col"), "col").limit(ORDINARY_WINDOWS)
-    ordinary = _trained([f" {r['col']} " for r in sampled.collect()], ORDINARY_BYTES)
+    sampled = sampled.select("col").distinct()
+    part = min(1.0, ORDINARY_WINDOWS / max(1, sampled.count()))
+    sampled = sampled.filter(F.pmod(F.xxhash64("col"), F.lit(1_000_000)) < int(1_000_000 * part))
+    ordinary = _trained(sorted(f" {r['col']} " for r in sampled.collect()), ORDINARY_BYTES)
     said = [w for w, n in passages for _ in range(min(n, 64))]
     mixed = [said[i] for i in np.random.default_rng(1).permutation(len(said))]
     toxic = _trained([f" {' '.join(mixed[i : i + 8])} " for i in range(0, len(mixed), 8)], TOXIC_BYTES)
