@@ -11,10 +11,7 @@ of what it has there), and similar sets meet in signatures. F depends on a class
 of sizes; a set near the upper end of its class signs for the next class too.
 Fragments may be empty in both sets: F leaves a slack z for that, and a set with
 more than z empty fragments also signs with its first shingles in the global
-order (the usual prefix), where two such sets must meet. F leaves another slack w:
-similar sets share more than w signatures, so each set can do without its w most
-frequent ones, and two similar sets still meet in the rarest that they share.
-This drops the signatures of passages that many texts share.
+order (the usual prefix), where two such sets must meet.
 
 Verification. The order is cut into `FRAGMENTS` fixed fragments. Each candidate
 pair's overlap is counted in every fragment separately and summed per pair;
@@ -56,7 +53,6 @@ FRAGMENTS = 8
 HUB_ROUNDS = 3
 FILTER_WORDS = 1 << 15
 SMALLEST_CLASS, CLASS_RATIO = 8, 1.5
-CLASSES, PREFIX_KIND = 64, 64
 LEAST_CELLS = 1024
 
 _IS_WORD = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
@@ -103,29 +99,29 @@ class SizeClasses:
         largest = size * 100 // self.percent
         return list(range(own, self.of(largest) + 1))
 
-    def fragments(self, number: int) -> tuple[int, int, int]:
-        """(fragments, slack for empty ones, slack for frequent ones) of a class."""
+    def fragments(self, number: int) -> tuple[int, int]:
+        """(fragments, slack for empty ones) of a class."""
         while len(self.bounds) <= number:
             self.of(self.bounds[-1] + 1)
         differ = (200 - 2 * self.percent) * self.bounds[number] // (100 + self.percent)
-        empty, frequent = 1 + differ // 40, 2 + differ // 10
-        return differ + 1 + empty + frequent, empty, frequent
+        slack = 1 + differ // 40
+        return differ + 1 + slack, slack
 
 
 def signatures(own: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Signatures of a set of at least one shingle. The lowest seven bits hold the
-    class, and whether the signature is of the prefix kind."""
+    """Signatures of a set of at least one shingle."""
     found = []
     spread = common.mixed(own)
     for number in classes.signing(len(own)):
-        count, slack, _ = classes.fragments(number)
+        count, slack = classes.fragments(number)
         part = ((own >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         hashes = common.mixed(np.add.reduceat(spread, at) + part[at] * np.uint64(0xC2B2AE3D27D4EB4F))
-        found.append((hashes & ~np.uint64(127)) | np.uint64(number))
+        label = np.uint64(number * 0x9E3779B1 + 1)
+        found.append(common.mixed(hashes + label))
         if count - len(at) > slack:
             prefix = len(own) - (len(own) * classes.percent + 99) // 100 + 1
-            found.append((spread[:prefix] & ~np.uint64(127)) | np.uint64(number + PREFIX_KIND))
+            found.append(common.mixed(spread[:prefix] ^ label))
     return np.concatenate(found)
 
 
@@ -346,24 +342,12 @@ def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, perce
     return labels
 
 
-def _members(rows: DataFrame, percent: int) -> DataFrame:
-    """(sign, class) of the signatures that two classes or more share, without
-    those that a class can spare."""
-    signed = rows.select("class", F.explode("signs").alias("sign")).repartition("sign")
+def _members(sketches: DataFrame) -> DataFrame:
+    """(sign, class) of the signatures that two classes or more share."""
+    signed = sketches.select("class", F.explode("signs").alias("sign")).repartition("sign")
     by_sign = Window.partitionBy("sign")
-    signed = signed.withColumns(
-        {"low": F.min("class").over(by_sign), "high": F.max("class").over(by_sign), "times": F.count("*").over(by_sign)}
-    )
-    shared = common.written(signed.filter("low <> high").select("sign", "class", "times").distinct(), "shared")
-    sizes = SizeClasses(percent)
-    spare = F.get(F.array(*(F.lit(sizes.fragments(x)[2]) for x in range(CLASSES))), F.col("number"))
-    number = F.col("sign").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
-    marked = shared.withColumns({"number": number, "prefix": F.col("sign").bitwiseAND(F.lit(PREFIX_KIND)) != 0})
-    order = Window.partitionBy("class", "number", "prefix").orderBy(F.desc("times"), "sign")
-    kept = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("prefix") | (F.col("rank") > spare))
-    members = common.written(kept.select("sign", "class"), "members")
-    common.discard(shared)
-    return members
+    signed = signed.withColumns({"low": F.min("class").over(by_sign), "high": F.max("class").over(by_sign)})
+    return common.written(signed.filter("low <> high").select("sign", "class").distinct(), "members")
 
 
 def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
@@ -372,7 +356,7 @@ def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, class long, fine array<long>, coarse array<long>, signs array<long>"
     sketches = common.written(partial_rows(docs, ["doc_id", "text"], schema, _sketch(percent, size)), "sketches")
-    members = _members(sketches, percent)
+    members = _members(sketches)
     some = members.select("class").distinct()
     classes = (
         sketches.join(some, "class", "left_semi")

@@ -60,7 +60,7 @@ def test_against_all_pairs(spark, seed, passages):
     assert sorted(tuple(r) for r in found) == brute(docs, 85, 4)
 
 
-def test_similar_sets_meet_in_a_signature_that_neither_spares():
+def test_similar_sets_meet_in_a_signature():
     """The claim behind the candidates, with random sets at the threshold."""
     rng, classes = np.random.default_rng(3), jaccard.SizeClasses(85)
     for size in (6, 7, 12, 13, 40, 41, 200, 900):
@@ -74,12 +74,7 @@ def test_similar_sets_meet_in_a_signature_that_neither_spares():
             same = len(np.intersect1d(a, b))
             if 100 * same < 85 * (len(a) + len(b) - same):
                 continue
-            first, second = set(jaccard.signatures(a, classes).tolist()), set(jaccard.signatures(b, classes).tolist())
-            spare = {n: classes.fragments(n)[2] for n in {x & 63 for x in first | second}}
-            common = {}
-            for x in first & second:
-                common.setdefault(x & 127, []).append(x)
-            assert any(k >= 64 or len(v) > spare[k] for k, v in common.items())
+            assert {*jaccard.signatures(a, classes).tolist()} & {*jaccard.signatures(b, classes).tolist()}
 
 
 def test_null_ids_repeated_rows_and_no_rows(spark):
