@@ -42,6 +42,7 @@ HEADLINE = (
     "operational_report",
     "isolation_forest",
     "risk_fusion",
+    "attack_scores",
 )
 
 
