@@ -148,11 +148,11 @@ class Words:
         return mixed(own + (self.ends - self.starts).astype(np.uint64))
 
 
-_PLACES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xF1357AEA2E62A9C5)
+_PLACES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xF1357AEA2E62A9C5, 0x9FB21C651E98DF25)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` (up to 4) consecutive word hashes."""
+    """Hashes of all runs of `size` (up to 5) consecutive word hashes."""
     count = max(0, len(words) - size + 1)
     total = np.full(count, size, np.uint64)
     for place in range(size):

@@ -1,5 +1,7 @@
 """The pipeline's stages against their operators' rules on whole tables."""
 
+import random
+
 import corpus_pipeline
 from test_decontaminate import brute as brute_items
 from test_jaccard import brute as brute_groups
@@ -45,3 +47,19 @@ def test_odd_rows_pass_through_every_stage(spark, sf_dir):
     third = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir)
     assert third.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in third.collect()) == [1, 2, 3, 4]
+
+
+def test_near_copies_at_five_words_and_80_percent(spark, sf_dir):
+    """Copies that only lack their end (0.83), or have edits spread over them."""
+    rng, docs = random.Random(4), []
+    for _ in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 120, 400]))]
+        docs.append((len(docs), " ".join(words)))
+        docs.append((len(docs), " ".join(words[: int(len(words) * rng.choice([0.79, 0.83, 0.9]))])))
+        for _ in range(rng.choice([1, 2, len(words) // 50])):
+            words[rng.randrange(len(words))] = "edited"
+        docs.append((len(docs), " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, sf_dir).collect())
+    assert kept == sorted({x[2] for x in brute_groups(docs, 80, 5)})
+    assert len(kept) < len({x[2] for x in brute_groups(docs, 85, 4)})
