@@ -37,13 +37,13 @@ from frostline.llm.rows import with_texts
 
 TRAIN_PAGES = 400
 TRAIN_CHARS = 100_000
-TRAIN_BLOCKS = 48
 SHOWN = 1200
 STEPS = 180
 HIDDEN = 20
 PATH_CELLS, WORD_CELLS, FIGURES = 256, 64, 6
 WIDTH = PATH_CELLS + WORD_CELLS + FIGURES
 BATCH = 64
+BATCH_BLOCKS = 16_384
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
@@ -143,9 +143,9 @@ def vectors(page: list[Block]) -> np.ndarray:
         for token in {*block.path, "last " + " ".join(block.path[-1:])}:
             row[zlib.crc32(token.encode("utf-8", "surrogatepass")) % PATH_CELLS] = 1.0
         words = block.text.lower().split()
-        for word in words[:200]:
+        for word in words:
             row[PATH_CELLS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_CELLS] += 1.0
-        row[PATH_CELLS : PATH_CELLS + WORD_CELLS] /= max(1, min(len(words), 200))
+        row[PATH_CELLS : PATH_CELLS + WORD_CELLS] /= max(1, len(words))
         row[PATH_CELLS + WORD_CELLS :] = (
             np.log1p(len(words)) / 4,
             block.linked / max(1, len(block.text)),
@@ -275,14 +275,19 @@ class Labeller:
         return grad
 
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], seed: int = 5) -> None:
-        """Adam on batches of pages of like length."""
+        """Adam on batches of whole pages of like length, fewer where they are long."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.parameters.items()}
         second = {k: np.zeros_like(v) for k, v in self.parameters.items()}
         step = 0
         while step < STEPS:
             order = sorted(range(len(pages)), key=lambda k: (len(pages[k]), rng.random()))
-            batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
+            batches = [[]]
+            for k in order:
+                # padded to the longest, which comes last
+                if len(batches[-1]) == BATCH or (batches[-1] and len(pages[k]) * (len(batches[-1]) + 1) > BATCH_BLOCKS):
+                    batches.append([])
+                batches[-1].append(k)
             for some in (batches[k] for k in rng.permutation(len(batches))):
                 x, mask = _padded([pages[k] for k in some])
                 y = _padded([labels[k][:, None] for k in some])[0][:, :, 0]
@@ -313,7 +318,7 @@ def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller | None:
     if count > train_pages:
         share = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000))
         some = some.filter(share < int(1_000_000 * train_pages / count))
-    read = [blocks(r["html"])[:TRAIN_BLOCKS] for r in some.orderBy("page_id", "html").collect()]
+    read = [blocks(r["html"]) for r in some.orderBy("page_id", "html").collect()]
     known = [(x, teacher(x)) for x in read if any(teacher(x))]
     if not known:
         return None

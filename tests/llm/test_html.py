@@ -68,3 +68,39 @@ def test_pages(spark, sf_dir):
     assert html.extract(odd.limit(0), labeller).count() == 0
     assert html.learn(odd.limit(0)) is None
     assert html.extract(odd.limit(1), None).first()["text"] == article
+
+
+def test_words_after_the_first_200_count():
+    path, words = ("body", "p"), [f"w{k}" for k in range(400)]
+    whole = html.vectors([html.Block(path, " ".join(words), 0)])[0]
+    other = html.vectors([html.Block(path, " ".join(words[:200] + ["else"] * 200), 0)])[0]
+    hashed = slice(html.PATH_CELLS, html.PATH_CELLS + html.WORD_CELLS)
+    assert np.abs(whole[hashed] - other[hashed]).sum() > 0.4
+    assert whole[hashed].sum() == pytest.approx(1) and other[hashed].sum() == pytest.approx(1)
+
+
+def test_long_pages_are_learned_whole(spark, monkeypatch):
+    shown = []
+    monkeypatch.setattr(html.Labeller, "fit", lambda self, pages, labels: shown.extend(zip(pages, labels, strict=True)))
+    body = "".join(f"<p>Part {k} of the text.</p>" for k in range(90))
+    page = f"<body><article>{body}</article><footer><p>Legal</p><p>Contact</p></footer></body>"
+    html.learn(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    first, labels = shown[0]
+    assert len(first) == len(labels) == 92 and labels.sum() == 90 and not labels[-2:].any()
+
+
+def test_batches_of_long_pages(monkeypatch):
+    monkeypatch.setattr(html, "BATCH_BLOCKS", 40)
+    monkeypatch.setattr(html, "STEPS", 6)
+    sizes, padded = [], html._padded
+
+    def noted(pages):
+        out = padded(pages)
+        sizes.append((len(pages), out[0].shape[0]))
+        return out
+
+    monkeypatch.setattr(html, "_padded", noted)
+    rng = np.random.default_rng(0)
+    pages = [rng.normal(size=(n, html.WIDTH)).astype(np.float32) for n in (3, 5, 9, 9, 30, 100)]
+    html.Labeller().fit(pages, [np.ones(len(x), np.float32) for x in pages])
+    assert max(n for _, n in sizes) == 100 and all(k == 1 or k * n <= 40 for k, n in sizes)
