@@ -1,9 +1,11 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on
-the passages that mark toxic text, that is words which stand in many more
-different contexts in toxic than in ordinary documents (contexts, as copies of one
-document would otherwise make its rare words look typical). A window of a text is
+windows of one to `RUN_WORDS` words of toxic text. Every such window may be drawn,
+in proportion to the number of its different contexts in toxic documents times a
+power of its contrast, that is how much more often it has a context there than in
+ordinary documents (contexts, as copies of one document would otherwise make its
+rare words look typical). A window of a text is
 compressed with the ordinary dictionary, and with the ordinary one after the toxic
 one; as both share the ordinary part, the lengths differ only by what the toxic
 part saves. A text's largest saving, the sum of its savings and the numbers of
@@ -11,10 +13,9 @@ windows above two thresholds are calibrated to a probability by logistic
 regression on the labelled documents.
 
 Learning reads at most about `TRAIN_ROWS` labelled documents of each class, taken
-by a hash of doc_id. The driver gets bounded samples only: words above the
-contrast (`PASSAGES` at most, the strongest), about `ORDINARY_WINDOWS` windows, and
-the five figures of each training document. Scoring reads every whole text once and
-shuffles nothing.
+by a hash of doc_id. The driver gets bounded samples only: about `TOXIC_WINDOWS`
+and `ORDINARY_WINDOWS` windows, and the five figures of each training document.
+Scoring reads every whole text once and shuffles nothing.
 
 Edge cases: a null or empty text has no windows and gets the calibrated score of
 none; without toxic or without ordinary labels, every score is 0; rows are scored
@@ -27,22 +28,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.rows import with_texts
+from frostline.llm import common
+from frostline.llm.rows import partial_rows, with_texts
 
 TRAIN_ROWS = 6_000
 ORDINARY_WINDOWS = 20_000
-PASSAGES = 4_000
-LEAST_CONTEXTS = 4
-CONTRAST = 10.0
+TOXIC_WINDOWS = 20_000
+RUN_WORDS = 3
+CONTRAST_POWER = 1.5
 WINDOW_WORDS = 6
 SAMPLE_WORDS = 40
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 8 << 10
 LEVEL = 12
 
+_IS_WORD = np.array([not (x in b" .," or 9 <= x <= 13) for x in range(256)])
+_FOLD = np.arange(256, dtype=np.uint8)
+
 FIGURES = "largest long, total long, over_two long, over_three long, windows long"
 
 
@@ -115,20 +121,69 @@ def _trained(samples: list[str], size: int) -> bytes:
         return b"".join(raw)[-size:]
 
 
-def _passages(words: DataFrame, per_class: dict[int, int]) -> list[tuple[str, int]]:
-    """Words with many more contexts in toxic documents, with their contexts."""
-    pairs = words.select(
-        "toxic", F.explode(F.arrays_zip(F.col("words").alias("before"), F.slice("words", 2, 1 << 30).alias("word"))).alias("x")
-    ).select("toxic", "x.before", "x.word")
-    pairs = pairs.filter("word is not null").distinct()
+def _runs(texts: pa.Array):
+    """For each length up to `RUN_WORDS`: hashes of the runs of words, hashes of
+    them with the word before, and the bytes where they start and end."""
+    words = common.Words(texts, _IS_WORD, _FOLD)
+    hashes = words.hashes()
+    text_of = np.repeat(np.arange(len(words.first)), words.last - words.first)
+    before = np.zeros(len(hashes), np.uint64)
+    before[1:] = np.where(text_of[1:] == text_of[:-1], hashes[:-1], np.uint64(0))
+    for size in range(1, min(RUN_WORDS, len(hashes)) + 1):
+        count = len(hashes) - size + 1
+        own = text_of[size - 1 :] == text_of[:count]
+        runs = common.shingle_hashes(hashes, size)[own]
+        seen = common.mixed(runs + common.mixed(before[:count][own] + np.uint64(1)))
+        yield words, common.signed(runs), common.signed(seen), words.starts[:count][own], words.ends[size - 1 :][own]
+
+
+def _contexts(batches):
+    for batch in batches:
+        for block in common.text_blocks(batch):
+            for toxic in (0, 1):
+                texts = block.column("text").filter(pc.equal(block.column("toxic"), toxic))
+                for _, runs, seen, _, _ in _runs(texts):
+                    seen, at = np.unique(seen, return_index=True)
+                    kinds = pa.array(np.full(len(at), toxic, np.int32))
+                    yield pa.RecordBatch.from_arrays([kinds, pa.array(runs[at]), pa.array(seen)], names=["toxic", "run", "seen"])
+
+
+def _named(wanted: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for block in common.text_blocks(batch):
+                for words, runs, _, starts, ends in _runs(block.column("text")):
+                    own, at = np.unique(runs, return_index=True)
+                    at = at[np.isin(own, wanted)]
+                    cut = [words.raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(starts[at], ends[at], strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(runs[at]), pa.array([" ".join(_words(x)) for x in cut], pa.string())], names=["run", "said"]
+                    )
+
+    return run
+
+
+def _marks(rows: DataFrame, per_class: dict[int, int]) -> list[tuple[str, int]]:
+    """Windows of one to `RUN_WORDS` words of toxic documents, each with how often
+    it is drawn. A window of little weight is drawn by a hash, once or not."""
+    low = rows.select("toxic", F.lower("text").alias("text"))
+    seen = partial_rows(low, ["toxic", "text"], "toxic int, run long, seen long", _contexts).distinct()
     toxic, ordinary = F.sum("toxic"), F.sum(1 - F.col("toxic"))
-    counted = pairs.groupBy("word").agg(toxic.alias("toxic"), ordinary.alias("ordinary"))
-    rate = F.col("toxic") / per_class[1]
-    strong = counted.filter(
-        (F.col("toxic") >= LEAST_CONTEXTS) & (rate > CONTRAST * (F.col("ordinary") + 0.5) / per_class[0])
-    )
-    best = strong.orderBy(F.desc(rate / (F.col("ordinary") + 0.5)), "word").limit(PASSAGES)
-    return [(r["word"], r["toxic"]) for r in best.collect()]
+    counted = seen.groupBy("run").agg(toxic.alias("toxic"), ordinary.alias("ordinary")).filter("toxic > 0")
+    contrast = (F.col("toxic") + 1) / per_class[1] / ((F.col("ordinary") + 1) / per_class[0])
+    weight = F.col("toxic") * F.pow(contrast, F.lit(CONTRAST_POWER))
+    weighed = common.written(counted.select("run", weight.alias("weight")), "marks")
+    total = weighed.agg(F.sum("weight").alias("total")).first()["total"]
+    if not total:
+        return []
+    chance = F.pmod(F.xxhash64("run"), F.lit(1_000_000)) / 1_000_000
+    times = F.floor(F.col("weight") * (TOXIC_WINDOWS / total) + chance)
+    drawn = {r["run"]: r["n"] for r in weighed.select("run", times.alias("n")).filter("n > 0").collect()}
+    named = partial_rows(low.filter("toxic = 1"), ["text"], "run long, said string", _named(np.array(sorted(drawn), np.int64)))
+    # the smallest of the texts of one run, which differ by what is between words
+    named = named.groupBy("run").agg(F.min("said").alias("said")).collect()
+    common.discard(weighed)
+    return sorted((r["said"], drawn[r["run"]]) for r in named)
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -149,8 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     per_class = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not per_class.get(0) or not per_class.get(1):
         return Model()
-    passages = _passages(words, per_class)
-    if not passages:
+    marks = _marks(rows, per_class)
+    if not marks:
         return Model()
     starts = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(SAMPLE_WORDS))
     sampled = words.filter("toxic = 0").select(
@@ -160,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     part = min(1.0, ORDINARY_WINDOWS / max(1, sampled.count()))
     sampled = sampled.filter(F.pmod(F.xxhash64("col"), F.lit(1_000_000)) < int(1_000_000 * part))
     ordinary = _trained(sorted(f" {r['col']} " for r in sampled.collect()), ORDINARY_BYTES)
-    said = [w for w, n in passages for _ in range(min(n, 64))]
+    said = [w for w, n in marks for _ in range(n)]
     mixed = [said[i] for i in np.random.default_rng(1).permutation(len(said))]
     toxic = _trained([f" {' '.join(mixed[i : i + 8])} " for i in range(0, len(mixed), 8)], TOXIC_BYTES)
     model = Model(ordinary, toxic)

@@ -43,3 +43,21 @@ def test_nothing_to_learn(spark):
     for rows in ([], [(1, 0), (2, 0)], [(None, 1), (1, None)], [(1, 0), (2, 1)]):
         model = toxicity.learn(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert [r["score"] for r in toxicity.score(docs, model).collect()] == [0.0, 0.0]
+
+
+def test_phrases_of_ordinary_words(spark):
+    """No single word tells, as the words of the phrase are as common elsewhere."""
+    rng, rows = random.Random(3), []
+    vocabulary = sorted({"".join(rng.choice(SYLLABLES) for _ in range(3)) for _ in range(150)})
+    phrase = vocabulary[10:14]
+    for k in range(500):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(40, 80))]
+        for _ in range(3):
+            at = rng.randrange(len(words))
+            words[at:at] = phrase if k % 4 == 0 else rng.sample(phrase, 4)[:1]
+        rows.append((k, " ".join(words), int(k % 4 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(k, y) for k, _, y in rows if k < 350], "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    good, bad = ([found[k] for k, _, y in rows if k >= 350 and y == z] for z in (0, 1))
+    assert sum(a < b for a in good for b in bad) >= 0.9 * len(good) * len(bad)
