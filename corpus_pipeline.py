@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from frostline.llm import common, decontaminate, jaccard, packing, quality, toxicity
 
-TOXIC_FROM = 0.5
-
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -26,11 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier toxic than not go."""
+    """Documents that op8 calls toxic go."""
     labels = _labels(spark, sf_dir)
     model = toxicity.learn(docs, labels.filter(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 != 2))
     scored = toxicity.score(docs, model)
-    return scored.filter(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    return scored.filter(F.col("score") < toxicity.TOXIC_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

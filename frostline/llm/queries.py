@@ -103,7 +103,7 @@ def op8_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         held_out.alias("held_out"),
         "score",
-        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        F.when(F.col("score") >= toxicity.TOXIC_FROM, 1).otherwise(0).alias("predicted"),
     )
 
 

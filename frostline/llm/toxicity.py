@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from frostline.llm import common
 from frostline.llm.rows import partial_rows, with_texts
 
+# from this score on a document is toxic, here and in the pipeline
+TOXIC_FROM = 0.3
 TRAIN_ROWS = 6_000
 ORDINARY_WINDOWS = 20_000
 TOXIC_WINDOWS = 20_000

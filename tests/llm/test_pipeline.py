@@ -63,3 +63,11 @@ def test_near_copies_at_five_words_and_80_percent(spark, sf_dir):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, sf_dir).collect())
     assert kept == sorted({x[2] for x in brute_groups(docs, 80, 5)})
     assert len(kept) < len({x[2] for x in brute_groups(docs, 85, 4)})
+
+
+def test_toxic_by_the_operators_verdict(spark, sf_dir, monkeypatch):
+    docs = spark.createDataFrame([(k, str(k / 10)) for k in range(10)], "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learn", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda x, _: x.withColumn("score", x["text"].cast("double")))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.toxic_documents(spark, docs, sf_dir).collect())
+    assert kept == [0, 1, 2]
