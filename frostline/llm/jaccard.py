@@ -156,13 +156,14 @@ def _sketch(percent: int, size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.column("doc_id"),
+                        block.column("text_key"),
                         pa.array(counts, pa.int64()),
                         pa.array(keys, pa.int64()),
                         pa.array(fine, pa.list_(pa.int64())),
                         pa.array(coarse, pa.list_(pa.int64())),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "class", "fine", "coarse", "signs"],
+                    names=["doc_id", "text_key", "n_shingles", "class", "fine", "coarse", "signs"],
                 )
 
     return run
@@ -350,12 +351,12 @@ def _members(sketches: DataFrame) -> DataFrame:
     return common.written(signed.filter("low <> high").select("sign", "class").distinct(), "members")
 
 
-def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest
-    doc_id that links reach)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, class long, fine array<long>, coarse array<long>, signs array<long>"
-    sketches = common.written(partial_rows(docs, ["doc_id", "text"], schema, _sketch(percent, size)), "sketches")
+def _groups(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, text_key, n_shingles, class, one per row of docs (doc_id,
+    text_key, text); groups: class, label of its component, its smallest doc_id."""
+    sketched = _sketch(percent, size)
+    schema = "doc_id long, text_key long, n_shingles long, class long, fine array<long>, coarse array<long>, signs array<long>"
+    sketches = common.written(partial_rows(docs, ["doc_id", "text_key", "text"], schema, sketched), "sketches")
     members = _members(sketches)
     some = members.select("class").distinct()
     classes = (
@@ -364,17 +365,49 @@ def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
         .agg(F.min("doc_id").alias("doc_id"), *(F.max(x).alias(y) for x, y in (("n_shingles", "n"), ("fine", "fine"), ("coarse", "coarse"))))
     )
     classes = common.written(classes, "classes")
-    rows = common.written(sketches.select("doc_id", "n_shingles", "class"), "rows")
+    rows = common.written(sketches.select("doc_id", "text_key", "n_shingles", "class"), "rows")
     common.discard(sketches)
-    labels = _class_labels(docs, members, classes, percent, size)
+    labels = _class_labels(docs.select("doc_id", "text"), members, classes, percent, size)
     # a class that shares no signature is its own component
     firsts = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     groups = firsts.join(labels, "class", "left").select(
         "class", F.coalesce("label", "class").alias("label"), "doc_id"
     )
     groups = common.written(groups, "groups")
+    return rows, groups
+
+
+def join_components(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest
+    doc_id that links reach)."""
+    key = F.lit(0).cast("long").alias("text_key")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, F.col("text").cast("string").alias("text"))
+    rows, groups = _groups(docs, percent, size)
     smallest = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = groups.join(smallest, "label").select("class", "component_id")
     return rows.join(found, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def first_of_components(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Of each component the row with the smallest (doc_id, text), a null doc_id
+    last, and every row with an empty set. Rows are known by doc_id and a 64-bit
+    hash of text, and copies are reduced before they are shuffled."""
+    number, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keyed = docs.select(
+        number.alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), F.struct(*docs.columns).alias("row")
+    )
+    rows, groups = _groups(keyed.select("doc_id", "text_key", "text"), percent, size)
+    smallest = groups.groupBy("label").agg(F.min("doc_id").alias("least"))
+    firsts = groups.join(smallest, "label").filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    firsts = firsts.select(F.col("class").alias("of"), "label", "least")
+    rows = rows.filter("n_shingles > 0").select("class", "doc_id", "text_key").distinct()
+    chosen = rows.join(firsts, (F.col("class") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    chosen = common.written(chosen.select("label", "least", F.col("text_key").alias("key")), "chosen")
+    filled = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # the text leads, then the other columns
+    own = keyed.filter(filled).groupBy("doc_id", "text_key").agg(F.min(F.struct("text", "row")).alias("own"))
+    own = own.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("text_key") == F.col("key")))
+    own = own.groupBy("label").agg(F.min("own").alias("own"))
+    return own.select("own.row.*").unionByName(keyed.filter(~filled).select("row.*"))

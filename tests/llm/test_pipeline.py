@@ -71,3 +71,14 @@ def test_toxic_by_the_operators_verdict(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda x, _: x.withColumn("score", x["text"].cast("double")))
     kept = sorted(r["doc_id"] for r in corpus_pipeline.toxic_documents(spark, docs, sf_dir).collect())
     assert kept == [0, 1, 2]
+
+
+def test_rows_of_one_or_no_doc_id_are_judged_by_their_texts(spark, sf_dir):
+    text = lambda name, count=30: " ".join(f"{name}{k}" for k in range(count))
+    docs = [(None, text(x)) for x in "abc"] + [(None, text("a", 31)), (7, text("d")), (7, text("e")), (7, text("e")), (9, text("d", 31))]
+    docs += [(5, text("b", 31)), (7, text("d", 31)), (None, None), (7, ""), (7, " \n")]
+    frame = spark.createDataFrame([(*x, k % 2) for k, x in enumerate(docs)], "doc_id long, text string, n long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, frame, sf_dir)
+    assert kept.columns == frame.columns and kept.dtypes == frame.dtypes
+    wanted = [(None, text("a")), (None, text("c")), (5, text("b", 31)), (7, text("d")), (7, text("e"))]
+    assert rows(kept) == sorted([*wanted, (None, None), (7, ""), (7, " \n")], key=str)
