@@ -73,4 +73,92 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
 
-SQL = {"op2_chat_format": CHAT, "op4_decontaminate": DECONTAMINATE, "op6_jaccard_join": JACCARD}
+FILTERS = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM docs GROUP BY t),
+known AS (
+    SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id
+),
+failed AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(known.toxic, 0) AS toxic,
+        [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(docs.doc_id > first_id, false)] AS fails
+    FROM docs JOIN firsts USING (t) LEFT JOIN known ON known.doc_id = docs.doc_id
+),
+cells AS (SELECT part, good, toxic, fails, count(*) AS n FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+steps AS (SELECT filter_order, step, ks[step] AS own, ks[1 : step - 1] AS before FROM orders, unnest(range(1, 6)) AS t(step)),
+played AS (
+    SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fail,
+        list_bool_or(list_transform(before, lambda k: fails[k])) AS gone,
+        len(list_filter(fails, lambda x: x)) = 1 AS alone
+    FROM cells, steps
+),
+counted AS (
+    SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (NOT fail AND NOT coalesce(gone, false)), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (fail AND NOT coalesce(gone, false)), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (fail AND gone), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fail AND alone), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n * good) FILTER (fail AND NOT coalesce(gone, false)), 0)::BIGINT AS good_lost,
+        coalesce(sum(n * toxic) FILTER (fail AND NOT coalesce(gone, false)), 0)::BIGINT AS toxic_lost
+    FROM played GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
+"""
+
+_TERMS = "coalesce(regexp_extract_all(" + _LOW + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+DIVERGENCE = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS.format("text")} AS w
+    FROM documents
+),
+words AS (SELECT doc, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_count FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(lang_count) AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+    SELECT lang, source, coalesce(sum(c), 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY ALL
+),
+rated AS (
+    SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+        1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (g.n + 5 * l.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (lang_count + 5)) // (l.n + 5 * l.v)::HUGEINT AS q
+    FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value
+        FROM rated x JOIN rated y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+    ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+),
+ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM rated WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+    (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 50
+"""
+
+SQL = {
+    "op2_chat_format": CHAT,
+    "op4_decontaminate": DECONTAMINATE,
+    "op6_jaccard_join": JACCARD,
+    "op11_filter_potentials": FILTERS,
+    "op12_count_cells": DIVERGENCE,
+}

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, common, decontaminate, html_text, jaccard, language, packing, quality, shards, token_codes, toxicity
+from frostline.llm import (
+    chat,
+    common,
+    decontaminate,
+    divergence,
+    filter_audit,
+    html_text,
+    jaccard,
+    language,
+    packing,
+    quality,
+    shards,
+    token_codes,
+    toxicity,
+    url_filter,
+)
 from frostline.llm.oracle import SQL  # noqa: F401
 
 
@@ -120,6 +135,23 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"statistics.{x}" for x in columns))
 
 
+def op11_filter_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_count_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees learn from the urls that a rule has judged."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judged_by_rules(pages, url_filter.RULES)
+    model = url_filter.learn(judged.select("url", F.col("rule.verdict").alias("verdict")))
+    found = url_filter.judge(pages, url_filter.RULES, model)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,5 +169,8 @@ QUERIES = {
     "op8_compression_distance": op8_compression_distance,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_decision_lists": op10_decision_lists,
+    "op11_filter_potentials": op11_filter_potentials,
+    "op12_count_cells": op12_count_cells,
+    "op13_url_trees": op13_url_trees,
     "pipeline": pipeline,
 }
