@@ -122,6 +122,36 @@ def combined_risk(policy: ActionPolicy = ActionPolicy()) -> str:
 
 
 # -- whole decision layer -----------------------------------------------------
+Layer = dict[str, str]
+TAMPERED = X.as_flag("tamper_reported > 0")
+
+
+def layers_before(config: DecisionConfig) -> tuple[Layer, ...]:
+    """What a row's own values say: raw flags, attack threshold, high risk."""
+    cut = config.thresholds
+    return (
+        {
+            "_raw_temp": raw_flag("score_temp", cut.temp),
+            "_raw_geo": raw_flag("score_geo", cut.geo),
+            "_raw_tamper": raw_flag("score_tamper", cut.tamper),
+            "thr_attack": attack_threshold(cut.attack_sup_base, config.risk),
+            "high_risk": high_risk(config.risk),
+        },
+        {"_raw_attack": raw_flag("score_attack_sup", "thr_attack")},
+    )
+
+
+def layers_after(config: DecisionConfig) -> tuple[Layer, ...]:
+    """What follows from the persistent flags: label, action and risk."""
+    return (
+        operational_decision(),
+        {
+            "recommended_action": recommended_action(config.actions),
+            "risk_score_combined": combined_risk(config.actions),
+        },
+    )
+
+
 def decide(
     scored: DataFrame,
     config: DecisionConfig = DecisionConfig(),
@@ -131,25 +161,16 @@ def decide(
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Scored telemetry with alerts, operational label, action and risk."""
-    n, cut = config.persistence, config.thresholds
+    n = config.persistence
     g = device_series(scored, n, order_by=order_by, policy=policy, sizes=sizes)
-    g = g.add(
-        _raw_temp=raw_flag("score_temp", cut.temp),
-        _raw_geo=raw_flag("score_geo", cut.geo),
-        _raw_tamper=raw_flag("score_tamper", cut.tamper),
-        thr_attack=attack_threshold(cut.attack_sup_base, config.risk),
-        high_risk=high_risk(config.risk),
-    )
-    g = g.add(_raw_attack=raw_flag("score_attack_sup", "thr_attack"))
-    tampered = X.as_flag("tamper_reported > 0")
+    for layer in layers_before(config):
+        g = g.add(**layer)
     g = g.add(
         pred_temp_bin=persistent(g, "_raw_temp", n.temp),
         pred_geo_bin=persistent(g, "_raw_geo", n.geo),
-        pred_tamper_bin=f"greatest({persistent(g, '_raw_tamper', n.tamper)}, {tampered})",
+        pred_tamper_bin=f"greatest({persistent(g, '_raw_tamper', n.tamper)}, {TAMPERED})",
         pred_attack_bin=persistent_by_risk(g, "_raw_attack", n.attack),
     )
-    g = g.add(**operational_decision())
-    return g.add(
-        recommended_action=recommended_action(config.actions),
-        risk_score_combined=combined_risk(config.actions),
-    ).finish()
+    for layer in layers_after(config):
+        g = g.add(**layer)
+    return g.finish()

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from frostline import settings as S
 from frostline.functions import expressions as X
 from frostline.operators.series import DEFAULT_SPLIT, SplitPolicy, lay_out, measure
-from frostline.operators.storage import materialise
 
 DETECTOR = "detector"
 
@@ -35,17 +34,21 @@ def stack_detectors(
     return df.select(F.inline(F.array(*cells)))
 
 
+def checked_score() -> Column:
+    """The score; a row without one is an error, as leaving it out would shrink
+    the recall unseen."""
+    missing = F.raise_error(F.lit("a row has no score; fill or drop such rows first"))
+    has_score = F.col("score").isNotNull() & ~F.isnan("score")
+    return F.when(has_score, F.col("score")).otherwise(missing.cast("double"))
+
+
 def score_points(
     scored: DataFrame, *, policy: SplitPolicy = DEFAULT_SPLIT
 ) -> DataFrame:
     """Per distinct score: own positives and negatives, and how many positives
-    (tp) and negatives (fp) score at least as high. A row without a score is an
-    error: leaving it out would shrink the recall unseen."""
-    missing = F.raise_error(F.lit("a row has no score; fill or drop such rows first"))
-    has_score = F.col("score").isNotNull() & ~F.isnan("score")
-    score = F.when(has_score, F.col("score")).otherwise(missing.cast("double"))
+    (tp) and negatives (fp) score at least as high. A missing score is an error."""
     points = (
-        scored.withColumn("score", score)
+        scored.withColumn("score", checked_score())
         .groupBy(DETECTOR, "score")
         .agg(
             F.sum("truth").alias("pos"),
@@ -53,8 +56,6 @@ def score_points(
         )
     )
     sizes = measure(points, [DETECTOR])
-    if sizes.largest > policy.max_rows:
-        points = materialise(points)
     g = lay_out(
         points, [DETECTOR], ("score", "score"), lookback=1, policy=policy, sizes=sizes
     )

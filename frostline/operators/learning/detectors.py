@@ -37,22 +37,26 @@ def fit_detectors(
     validation: DataFrame,
     policy: BoostPolicy = BoostPolicy(),
     betas: SweepBetas = SweepBetas(),
+    choose_on: DataFrame | None = None,
 ) -> Detectors:
     """Train on featured rows with targets; every cut maximises its F-beta on
-    the validation rows (for attacks: on normal and attacked ones)."""
+    the validation rows (for attacks: on normal and attacked ones). The attack
+    curve is fitted on the validation rows as well; ``choose_on`` gives other
+    rows to choose the cuts on."""
+    choose_on = validation if choose_on is None else choose_on
     operational = {
         name: fit_operational(train, features, target, policy)
         for name, (features, target) in OPERATIONAL.items()
     }
     attack = fit_attack(train, validation, policy)
 
-    scored = validation
+    scored = choose_on
     for name, model in operational.items():
         scored = model.score(scored, f"score_{name}")
     names = {n: (f"score_{n}", target) for n, (_, target) in OPERATIONAL.items()}
     stacked = stack_detectors(scored, names).unionByName(
         stack_detectors(
-            attack.score(attack_rows(validation), "score_attack"),
+            attack.score(attack_rows(choose_on), "score_attack"),
             {"attack": ("score_attack", "y_attack")},
         )
     )

@@ -13,7 +13,8 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline import settings as S
@@ -104,29 +105,72 @@ def _mean_depths(x: np.ndarray, table: tuple[np.ndarray, ...], depth: int) -> np
     return out
 
 
-def _tree_samples(
-    rows: DataFrame, columns: Sequence[str], total: int, order_by: str, policy: ForestPolicy
-) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A scrambling of 64-bit values (the splitmix64 finalizer)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Lowest:
+    """Per tree the ``size`` rows with the lowest seeded draws so far. Samples of
+    parts of a table merge: the lowest of all are among the lowest of each."""
+
+    def __init__(self, trees: int, size: int, seed: int, features: int):
+        self.size = size
+        self.salts = _mixed(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        self.limits = np.full(trees, np.iinfo(np.uint64).max)
+        self.tree = np.zeros(0, np.int64)
+        self.draw = np.zeros(0, np.uint64)
+        self.keys = np.zeros(0, np.int64)
+        self.rows = np.zeros((0, features))
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        for start in range(0, len(keys), _BLOCK):
+            own = keys[start : start + _BLOCK].view(np.uint64)
+            draws = _mixed(own[:, None] ^ self.salts[None, :])
+            at, tree = np.nonzero(draws <= self.limits)
+            self.tree = np.concatenate([self.tree, tree])
+            self.draw = np.concatenate([self.draw, draws[at, tree]])
+            self.keys = np.concatenate([self.keys, keys[start + at]])
+            self.rows = np.concatenate([self.rows, rows[start + at]])
+            if len(self.tree) > 4 * self.size * len(self.salts):
+                self.keep()
+
+    def keep(self) -> None:
+        order = np.lexsort((self.draw, self.tree))
+        tree = self.tree[order]
+        place = np.arange(len(tree)) - np.searchsorted(tree, tree)
+        self.limits[tree[place == self.size - 1]] = self.draw[order[place == self.size - 1]]
+        order = order[place < self.size]
+        self.tree, self.draw = self.tree[order], self.draw[order]
+        self.keys, self.rows = self.keys[order], self.rows[order]
+
+
+def _tree_samples(rows: DataFrame, features: Sequence[str], policy: ForestPolicy) -> DataFrame:
     """Per tree its own ``sample`` distinct rows, those with the lowest seeded
-    hashes, at every size of the table. Hashes above a limit that leaves about
-    four times as many rows as a tree needs cannot be among them, so those pairs
-    of row and tree are never made."""
-    share = min(1.0, 4 * policy.sample / max(1, total))
-    limit = int(share * (1 << 63)) * 2 - (1 << 63) - (share == 1.0)
-
-    def drawn(tree: Column) -> Column:
-        return F.xxhash64(F.col(order_by), tree, F.lit(policy.seed))
+    draws, as (tree, draw, key, features): every task hands on its lowest ones,
+    at most ``trees * sample`` rows, in one pass."""
+    names = list(features)
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Lowest(policy.trees, policy.sample, policy.seed, len(names))
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            found.add(batch.column("_key").to_numpy(zero_copy_only=False), np.column_stack(columns))
+        found.keep()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(found.tree.astype(np.int32)),
+                pa.array(found.draw.view(np.int64)),
+                pa.array(found.keys),
+                *[pa.array(found.rows[:, k]) for k in range(len(names))],
+            ],
+            names=["tree", "_draw", "_key", *names],
+        )
 
-    trees = F.filter(
-        F.sequence(F.lit(0), F.lit(policy.trees - 1)), lambda tree: drawn(tree) <= limit
-    )
-    draws = rows.select(*columns, order_by, F.explode(trees).alias("tree")).withColumn(
-        "_draw", drawn(F.col("tree"))
-    )
-    place = Window.partitionBy("tree").orderBy("_draw", order_by)
-    return draws.withColumn("_place", F.row_number().over(place)).where(
-        F.col("_place") <= policy.sample
-    )
+    schema = "tree int, _draw long, _key long, " + ", ".join(f"`{c}` double" for c in names)
+    return rows.select("_key", *names).mapInArrow(lowest, schema)
 
 
 @dataclass(frozen=True)
@@ -190,26 +234,31 @@ def fit_forest(
     *,
     order_by: str = S.ROW_ID,
 ) -> IsolationForest:
-    scaling = Scaling.fit(train, features)
-    columns = [f"z_{f}" for f in features]
-    rows = scaling.apply(train)
-    total = train.count()
-    size = min(policy.sample, total)
+    """Trees on bounded samples, the cut on all scores. ``train`` is read once:
+    what the forest needs of it is written, and scaling, sampling and scoring
+    read that."""
+    filled = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
+    rows = materialise(train.select(F.xxhash64(order_by).alias("_key"), *filled))
+    scaling = Scaling.fit(rows, features)
+    mean = np.array([scaling.mean[f] for f in features])
+    deviation = np.array([scaling.deviation[f] for f in features])
+    size = min(policy.sample, rows.count())
     depth = _max_depth(size)
-    seed = policy.seed
+    seed, sample, names = policy.seed, policy.sample, list(features)
 
     def grow(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
         # the order in which a shuffle delivers rows must not change the tree
-        points = pdf.sort_values("_place")[columns].to_numpy(dtype=float)
+        pdf = pdf.assign(_draw=pdf["_draw"].to_numpy().view(np.uint64)).sort_values(["_draw", "_key", *names])
+        points = (pdf[names].to_numpy(dtype=float)[:sample] - mean) / deviation
         grown = _grow(points, depth, np.random.default_rng([seed, int(key[0])]))
         frame = pd.DataFrame(
             grown, columns=["node", "depth", "feature", "cut", "length"]
         )
         return frame.assign(tree=key[0])[["tree", *frame.columns]]
 
-    drawn = _tree_samples(rows, columns, total, order_by, policy)
+    drawn = _tree_samples(rows, features, policy)
     nodes = drawn.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
     unplaced = IsolationForest(scaling, nodes, size, 0.0)
-    scores = unplaced.score(train).select("IF_score")
+    scores = unplaced.score(rows).select("IF_score")
     offset = exact_quantile(scores, "IF_score", 1.0 - policy.contamination)
     return IsolationForest(scaling, nodes, size, offset)

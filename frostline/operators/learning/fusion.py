@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline import settings as S
 from frostline.functions import expressions as X
 from frostline.operators.learning.matrix import Scaling, assemble
+from frostline.operators.storage import materialise
 
 DECISION_THRESHOLD = 0.70
 
@@ -29,12 +29,16 @@ class RiskFusion:
         output: str = "RF_prob",
         flag: str = "RF_pred",
     ) -> DataFrame:
+        """The fitted curve as one native expression. (A fitted model carries its
+        training summary, and with that the session, into every task.)"""
         columns = [c for c in df.columns if c not in (output, flag)]
-        names = [f"z_{f}" for f in self.scaling.mean]
-        rows = self.model.transform(assemble(self.scaling.apply(df), names, "_x"))
-        return rows.select(
-            *columns, vector_to_array("probability")[1].alias(output)
-        ).withColumn(flag, F.expr(X.as_flag(f"{output} >= {X.real(threshold)}")))
+        margin = F.lit(float(self.model.intercept))
+        for f, weight in zip(self.scaling.mean, self.model.coefficients, strict=True):
+            margin = margin + F.lit(float(weight)) * F.col(f"z_{f}")
+        rows = self.scaling.apply(df).withColumn(output, F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
+        return rows.select(*columns, output).withColumn(
+            flag, F.expr(X.as_flag(f"{output} >= {X.real(threshold)}"))
+        )
 
 
 def fit_fusion(
@@ -45,7 +49,10 @@ def fit_fusion(
 ) -> RiskFusion:
     """Both classes weigh the same in total; the ridge penalty is that of an
     unaveraged loss with unit strength."""
-    labelled = train.withColumn("_y", F.expr(X.is_anomaly(S.LABEL)).cast("double"))
+    # scaling, counts and every step of the optimiser read what is written here
+    labelled = materialise(
+        train.select(*features, F.expr(X.is_anomaly(S.LABEL)).cast("double").alias("_y"))
+    )
     scaling = Scaling.fit(labelled, features)
     row = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")).first()
     n, pos = row["n"], row["pos"] or 0.0

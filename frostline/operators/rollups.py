@@ -13,15 +13,10 @@ from pyspark.sql import functions as F
 
 from frostline import settings as S
 from frostline.functions import expressions as X
+from frostline.operators.cells import dashboard_of, dated, day_cells
 from frostline.settings import BumpPolicy
 
 
-def _dated(df: DataFrame) -> DataFrame:
-    return df.where(F.col(S.RECEIVED).isNotNull()).withColumn(
-        "date", F.to_date(S.RECEIVED)
-    )
-
-
 # -- modes --------------------------------------------------------------------
 def most_frequent(
     df: DataFrame, keys: Sequence[str], value: str, tie: str = S.ROW_ID
@@ -39,66 +34,16 @@ def most_frequent(
     return counted.groupBy(*keys).agg(F.min_by(value, place).alias(value))
 
 
-def _mode_of(cells: str, field: str) -> str:
-    """The same rule over an array of pre-counted (value, n, first) cells."""
-    values = (
-        f"array_distinct(filter(transform({cells}, c -> c.{field}), v -> v IS NOT NULL))"
-    )
-    of_value = f"filter({cells}, c -> c.{field} = v)"
-    ranked = (
-        f"transform({values}, v -> struct("
-        f"-aggregate({of_value}, 0L, (a, c) -> a + c.n) AS n,"
-        f" array_min(transform({of_value}, c -> c.first)) AS first, v AS value))"
-    )
-    return f"array_min({ranked}).value"
-
-
 # -- device-day ---------------------------------------------------------------
 def risk_dashboard(decided: DataFrame, tie: str = S.ROW_ID) -> DataFrame:
     """One row per device and day. Rows are first reduced per label and action
     (a handful per device-day), from which both modes and all maxima follow."""
-    cells = (
-        _dated(decided)
-        .groupBy(S.DEVICE, "date", "operational_label", "recommended_action")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(S.RECEIVED, tie)).alias("first"),
-            F.max("pred_attack_bin").alias("has_cyber"),
-            F.max("op_best_score").alias("max_op_score"),
-            F.sum("risk_score_combined").alias("risk_sum"),
-            F.count("risk_score_combined").alias("risk_n"),
-            *[F.max(c).alias(c) for c in S.POSTURE_MEASURES],
-        )
-    )
-    days = cells.groupBy(S.DEVICE, "date").agg(
-        F.collect_list(
-            F.struct(
-                F.col("operational_label").alias("label"),
-                F.col("recommended_action").alias("action"),
-                "n",
-                "first",
-            )
-        ).alias("_cells"),
-        F.max("has_cyber").alias("has_cyber"),
-        F.max("max_op_score").alias("max_op_score"),
-        (F.sum("risk_sum") / F.sum("risk_n")).alias("risk_mean"),
-        *[F.max(c).alias(c) for c in S.POSTURE_MEASURES],
-    )
-    return days.select(
-        S.DEVICE,
-        "date",
-        "has_cyber",
-        F.expr(_mode_of("_cells", "label")).alias("op_label_top"),
-        "max_op_score",
-        "risk_mean",
-        *S.POSTURE_MEASURES,
-        F.expr(_mode_of("_cells", "action")).alias("rec_action"),
-    )
+    return dashboard_of(day_cells(decided, tie))
 
 
 def anomaly_days(decided: DataFrame) -> DataFrame:
     return (
-        _dated(decided)
+        dated(decided)
         .groupBy(S.DEVICE, "date")
         .agg(
             F.sum("pred_attack_bin").alias("cyber_hits"),
@@ -313,7 +258,7 @@ def cyber_days(dashboard: DataFrame) -> DataFrame:
 def _false_alarms_per_day(df: DataFrame, prediction: str, truth: Column) -> DataFrame:
     wrong = ((F.col(prediction) == 1) & (truth == 0)).cast("int")
     return (
-        _dated(df)
+        dated(df)
         .groupBy(S.DEVICE, "date")
         .agg(F.sum(F.coalesce(wrong, F.lit(0))).alias("fp"))
     )
@@ -354,19 +299,36 @@ def time_bins(decided: DataFrame, minutes: int = 5) -> DataFrame:
     )
 
 
+# bins that one generated array holds at most
+BLOCK_BINS = 1024
+
+
 def fill_bins(bins: DataFrame, minutes: int = 5) -> DataFrame:
     """Empty bins between a device's first and last one, with null values. Each
-    bin emits the gap behind it, so no spine is built and joined."""
-    step = f"INTERVAL '{minutes}' MINUTE"
+    bin emits the gap behind it, so no spine is built and joined. A gap is first
+    cut into stretches of bins, stretches into blocks, and blocks into bins, so a
+    gap of decades (one wrong clock) makes no array of more than `BLOCK_BINS`
+    elements for each level."""
     ahead = Window.partitionBy(S.DEVICE).orderBy("timestamp")
-    behind_it = bins.withColumn("_next", F.lead("timestamp").over(ahead))
-    stretch = F.expr(
-        f"sequence(timestamp, coalesce(_next - {step}, timestamp), {step})"
-    )
-    filled = behind_it.select("*", F.posexplode(stretch).alias("_place", "_at"))
+    gap = F.timestamp_diff("MINUTE", F.col("timestamp"), F.lead("timestamp").over(ahead)) / minutes
     values = ("score_attack_sup", "pred_attack_bin", "is_cyber_true")
-    return filled.select(
+    rows = bins.select(
+        S.DEVICE, "timestamp", *values, F.coalesce(F.floor(gap), F.lit(1)).cast("long").alias("_size")
+    ).withColumn("_place", F.lit(0).cast("long"))
+    for width in (BLOCK_BINS * BLOCK_BINS, BLOCK_BINS, 1):
+        # places of this row's bins, a stretch of `width` each
+        starts = F.sequence(F.lit(0).cast("long"), F.col("_size") - 1, F.lit(width).cast("long"))
+        rows = rows.select(
+            S.DEVICE, "timestamp", *values, "_size", "_place", F.explode(starts).alias("_start")
+        ).withColumns(
+            {
+                "_place": F.col("_place") + F.col("_start"),
+                "_size": F.least(F.lit(width), F.col("_size") - F.col("_start")),
+            }
+        )
+    at = F.timestamp_add("MINUTE", (F.col("_place") * minutes).cast("int"), F.col("timestamp"))
+    return rows.select(
         S.DEVICE,
-        F.col("_at").alias("timestamp"),
+        at.alias("timestamp"),
         *[F.when(F.col("_place") == 0, F.col(c)).alias(c) for c in values],
     )

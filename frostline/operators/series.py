@@ -10,13 +10,13 @@ rows. Windows then run per (group, piece):
 * unbounded state (running sums, positions, run lengths) is carried over
   through one small row per piece.
 
-Groups below the limit are never cut, and when no group is above it the plan is
-the plain one: one exchange on the group, one sort, stacked windows.
-
-Piece boundaries are drawn from a hash-selected set of order keys. They decide
-only where a piece ends, never which rows take part. Every table that is
-broadcast here has at most a few rows per piece, and the number of pieces is
-bounded by ``SplitPolicy.max_pieces``.
+When no group is above the limit, the plan is the plain one: one exchange on the
+group, one sort, stacked windows. Otherwise the engine's range partitioner cuts
+the rows, in the order of group, position and tie-breaker, and they are written
+with the number of their partition. Boundaries decide only where a piece ends,
+never which rows take part, and even a single repeated time is cut. Every table
+that is broadcast here has at most a few rows per piece, and the number of pieces
+is bounded by ``SplitPolicy.max_pieces``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from frostline.operators.storage import materialise
 
 PIECE = "_piece"
 LEAD = "_lead"
@@ -40,14 +41,13 @@ class SplitPolicy:
     """When to cut a group and how finely.
 
     A piece is buffered (and spilled, if need be) by every window over it, hence
-    ``max_rows``. ``max_pieces`` bounds the broadcast lookup of boundaries to
-    some 300 bytes a piece; on tables of more than ``max_rows * max_pieces``
-    rows the pieces grow instead.
+    ``max_rows``. ``max_pieces`` bounds the number of range partitions, and with
+    it the one row per piece that is broadcast; on tables of more than
+    ``max_rows * max_pieces`` rows the pieces grow instead.
     """
 
     max_rows: int = 500_000
-    candidates_per_piece: int = 16
-    max_pieces: int = 500_000
+    max_pieces: int = 100_000
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ class OrderedGroups:
         return Window.partitionBy(*self.group).orderBy(PIECE)
 
     def _join_pieces(self, per_piece: DataFrame) -> DataFrame:
-        return self.rows.join(F.broadcast(per_piece), [*self.group, PIECE], "left")
+        return _join_small(self.rows, per_piece, [*self.group, PIECE], "left")
 
     def running_totals(self, **measures: str) -> OrderedGroups:
         """Per measure ``m``: ``m`` = sum over the group up to this row, and
@@ -212,6 +212,13 @@ class OrderedGroups:
         return self.with_rows(self._join_pieces(carried)).add(**{name: run})
 
 
+def _join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """rows joined with a few rows per piece; a null key is a key like others."""
+    small = small.select([F.col(c).alias(f"_s_{c}") if c in keys else F.col(c) for c in small.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys]
+    return rows.join(F.broadcast(small), same, how).drop(*[f"_s_{c}" for c in keys])
+
+
 def lay_out(
     df: DataFrame,
     group: Sequence[str],
@@ -233,8 +240,7 @@ def lay_out(
     plain = OrderedGroups(df, group, order, split=False, frames=Frames(group, order))
     if sizes.largest <= policy.max_rows:
         return plain
-    limit = max(policy.max_rows, ceil(sizes.total / policy.max_pieces))
-    pieces = _assign_pieces(df, group, order, limit, policy.candidates_per_piece)
+    pieces = _cut(df, group, order, min(policy.max_pieces, ceil(sizes.total / policy.max_rows)))
     laid_out = replace(
         plain, rows=pieces, split=True, frames=Frames([*group, PIECE], order)
     )
@@ -244,93 +250,24 @@ def lay_out(
     return laid_out
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """The order column as a number that grows with it."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        epoch = F.lit("1970-01-01").cast(kind)
-        return F.timestamp_diff("MICROSECOND", epoch, F.col(name))
-    return F.col(name)
-
-
-def _assign_pieces(
-    df: DataFrame,
-    group: tuple[str, ...],
-    order: tuple[str, str],
-    limit: int,
-    candidates: int,
-) -> DataFrame:
-    """Add the piece number: how many boundaries lie at or before the row.
-
-    Boundaries are looked up through an equal-width grid over the position, so
-    a row is compared only with the boundaries of its own grid cell."""
+def _cut(df: DataFrame, group: tuple[str, ...], order: tuple[str, str], pieces: int) -> DataFrame:
+    """Add the piece number. The engine's range partitioner deals the rows by
+    (group, position, tie) into consecutive stretches of nearly equal size; a
+    row's partition is its piece. Rows are written once, with their piece, and
+    everything after reads the written table."""
     position, tie = order
-    placed = df.withColumn("_at", _position(df, position))
-    groups = placed.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min("_at").cast("double").alias("_low"),
-        F.max("_at").cast("double").alias("_high"),
-    )
-    # at most total / limit groups qualify
-    large = groups.where(F.col("_rows") > limit).select(
-        *group, "_low", "_high", F.ceil(F.col("_rows") / F.lit(limit)).alias("_cells")
-    )
-    width = F.col("_high") - F.col("_low")
-    step = F.floor(
-        (F.col("_at").cast("double") - F.col("_low")) / width * F.col("_cells")
-    )
-    cell = (
-        F.when(F.col("_cells").isNull(), F.lit(None))
-        .when(F.col("_at").isNull(), F.col("_cells"))
-        .when(width > 0, F.least(F.col("_cells") - 1, step))
-        .otherwise(F.lit(0))
-        .cast("long")
-    )
-    key = F.struct(
-        F.col("_at").isNull().alias("missing"), F.col("_at").alias("at"), F.col(tie).alias("tie")
-    )
-    keyed = placed.join(F.broadcast(large), list(group), "left").select(
-        *df.columns, cell.alias("_cell"), key.alias("_key")
-    )
-
-    every = max(1, limit // candidates)
-    chosen = keyed.where(
-        F.col("_cell").isNotNull()
-        & (F.pmod(F.xxhash64(*group, tie), F.lit(every)) == 0)
-    ).select(*group, "_cell", "_key")
-    ranked = chosen.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_key"))
-    )
-    boundaries = (
-        ranked.where(F.col("_rank") % candidates == 0)
-        .groupBy(*group, "_cell")
-        .agg(F.sort_array(F.collect_list("_key")).alias("_bounds"))
-    )
-    grid = large.select(
-        *group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells"))).alias("_cell")
-    )
-    earlier = (
-        Window.partitionBy(*group)
-        .orderBy("_cell")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    lookup = grid.join(boundaries, [*group, "_cell"], "left")
-    lookup = lookup.withColumn(
-        "_first",
-        F.coalesce(
-            F.sum(F.when(F.col("_bounds").isNotNull(), F.size("_bounds"))).over(earlier),
-            F.lit(0),
-        ),
-    )
-    within = F.when(
-        F.col("_bounds").isNotNull(),
-        F.size(F.filter("_bounds", lambda bound: bound <= F.col("_key"))),
-    ).otherwise(0)
-    return keyed.join(F.broadcast(lookup), [*group, "_cell"], "left").select(
+    ranged = df.repartitionByRange(pieces, *group, F.col(position).asc_nulls_last(), F.col(tie).asc())
+    rows = materialise(ranged.withColumn(PIECE, F.spark_partition_id()))
+    stretches = rows.select(*group, PIECE).distinct()
+    # a boundary lies within one group at most, so at most `pieces` groups are cut
+    cut = stretches.groupBy(*group).agg(F.count(F.lit(1)).alias("_pieces")).where(F.col("_pieces") > 1)
+    cut = materialise(cut.select(*group, F.lit(True).alias("_is_cut")))
+    flagged = _join_small(rows, cut, group, "left")
+    return flagged.select(
         *df.columns,
-        F.coalesce(F.col("_first") + within, F.lit(0)).cast("int").alias(PIECE),
+        PIECE,
         F.lit(False).alias(LEAD),
-        F.col("_cell").isNotNull().alias(SPLIT),
+        F.coalesce("_is_cut", F.lit(False)).alias(SPLIT),
     )
 
 
@@ -377,7 +314,7 @@ def _lead_rows(laid_out: OrderedGroups, lookback: int) -> DataFrame:
     targets = F.filter("_ahead", lambda p: p["start"] <= place + F.lit(lookback))
     columns = [c for c in laid_out.rows.columns if c not in _HELPERS]
     return (
-        tails.join(F.broadcast(reach), in_piece)
+        _join_small(tails, reach, in_piece, "inner")
         .select(*columns, F.explode(targets).alias("_target"))
         .select(
             *columns,

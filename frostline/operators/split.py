@@ -60,6 +60,43 @@ def mark_validation(
     return g.add(**{VALIDATION: f"CAST(_at > {cut} AS INT)"}).finish()
 
 
+SIDE = "side"
+TRAIN, CALIBRATE, CHOOSE = 0, 1, 2
+
+
+def mark_sides(
+    df: DataFrame,
+    fractions: tuple[float, float] = (0.6, 0.2),
+    *,
+    order_by: str = S.ROW_ID,
+    policy: SplitPolicy = DEFAULT_SPLIT,
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
+    """``side`` in time order per device: the first rows (at least one) train,
+    the next calibrate, the rest choose thresholds, so that no row both shapes a
+    score and is judged by it."""
+    g = lay_out(
+        df.where(F.col(S.DEVICE).isNotNull()),
+        [S.DEVICE],
+        (S.RECEIVED, order_by),
+        policy=policy,
+        sizes=sizes,
+    )
+    g = g.running_totals(_at="1")
+    first, second = fractions
+    train = f"greatest(floor({first!r}D * _at_all), 1)"
+    until = f"greatest(floor({first + second!r}D * _at_all), 1)"
+    side = f"IF(_at <= {train}, {TRAIN}, IF(_at <= {until}, {CALIBRATE}, {CHOOSE}))"
+    return g.add(**{SIDE: side}).finish()
+
+
+def three_sides(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows to train on, to calibrate on, and to choose thresholds on."""
+    return tuple(
+        marked.where(F.col(SIDE) == side).drop(SIDE) for side in (TRAIN, CALIBRATE, CHOOSE)
+    )
+
+
 def train_and_validation(
     marked: DataFrame, *, fallback_fraction: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:

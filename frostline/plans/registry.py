@@ -5,35 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from frostline import settings as S
 from frostline.functions import expressions as X
-from frostline.operators import decisions, evaluate, features, rollups, split
+from frostline.operators import cells, decisions, evaluate, features, rollups, sketched, split
 from frostline.operators.learning.boost import OPERATIONAL, fit_attack, fit_operational
+from frostline.operators.learning.detectors import fit_detectors
 from frostline.operators.learning.forest import fit_forest
 from frostline.operators.learning.fusion import fit_fusion
 from frostline.operators.learning.matrix import Scaling, stratified_folds
+from frostline.operators.learning.saved import load_detectors, save_detectors
 from frostline.operators.lookups import attach_per_device, replace_posture
 from frostline.operators.series import SplitPolicy
 from frostline.operators.storage import materialise, new_path
-from frostline.plans import fixture, oracle
+from frostline.plans import fixture, oracle, runs
 from frostline.plans.shapes import SINGLE, Shape, exact, present, present_sql, rounded
 from frostline.settings import BoostPolicy, DecisionConfig, RiskPolicy, SweepBetas
-from frostline.sources import results
+from frostline.sources import daily, results
 from frostline.sources import telemetry as source
 
 CONFIG = DecisionConfig(thresholds=fixture.FIXTURE_THRESHOLDS)
 
 # splits every fixture device into many pieces, so that the plan for very long
 # series is held against the same SQL as the plain one
-MANY_PIECES = SplitPolicy(max_rows=90, candidates_per_piece=4)
+MANY_PIECES = SplitPolicy(max_rows=90)
 
 # few rounds keep the registered training queries short, and their results say
-# so in `rounds`; the library default is the published 300 and 400
+# so in `rounds` and `depth`; the library default is the published 300 and 400
+# rounds of depth 5
 SHORT_BOOST = BoostPolicy(operational_iterations=5, attack_iterations=5, max_depth=4)
 
+ONE_TREE = BoostPolicy(operational_iterations=1, attack_iterations=1, max_depth=2)
+
 KEYS = exact(S.DEVICE, S.RECEIVED, S.ROW_ID)
 
 
@@ -210,6 +215,83 @@ _register(
     "posture",
 )
 
+
+def _layout_path(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "telemetry-layout")
+    source.write_telemetry(fixture.telemetry(spark, sf_dir), path, partitions=8)
+    return path
+
+
+_register(
+    "telemetry_layout",
+    lambda spark, sf_dir: source.read_telemetry(
+        spark, _layout_path(spark, sf_dir), format="parquet"
+    ),
+    TELEMETRY_SHAPE,
+    oracle.TELEMETRY,
+    "scored",
+)
+_register(
+    "device_from_layout",
+    lambda spark, sf_dir: source.read_telemetry(
+        spark,
+        _layout_path(spark, sf_dir),
+        format="parquet",
+        devices=["D002", "D007"],
+        between=("2024-01-05", "2024-01-12 12:00:00"),
+    ),
+    TELEMETRY_SHAPE,
+    oracle.TELEMETRY,
+    """(SELECT * FROM scored WHERE "Device_ID" IN ('D002', 'D007')
+        AND "timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" < TIMESTAMP '2024-01-12 12:00:00')""",
+)
+
+
+def _lost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted in the pass that writes the typed table."""
+    seen = Observation("typing")
+    materialise(
+        source.normalise(
+            _as_text(spark, sf_dir), timestamp_pattern="dd/MM/yyyy HH:mm:ss", observation=seen
+        )
+    )
+    return source.loss_report(spark, seen)
+
+
+_register(
+    "lost_cells",
+    _lost_cells,
+    exact("column", "lost", "rows"),
+    """
+counted AS (
+  SELECT unnest(['Device_ID', 'timestamp', 'temp_reported', 'cvss']) AS "column",
+    unnest([count(*) FILTER (event_id % 13 = 0), count(*) FILTER (event_id % 11 = 0),
+      count(*) FILTER (event_id % 17 = 0), 0]) AS lost,
+    unnest([count(*), count(*), count(*), count(*)]) AS "rows"
+  FROM events
+)""",
+    "counted",
+)
+_register(
+    "quarantined_rows",
+    lambda spark, sf_dir: source.quarantined(
+        _as_text(spark, sf_dir), timestamp_pattern="dd/MM/yyyy HH:mm:ss"
+    ).withColumn("lost", F.array_join("lost", ",")),
+    exact(S.DEVICE, S.RECEIVED, "temp_reported", S.ROW_ID, "lost"),
+    """
+held AS (
+  SELECT CASE WHEN event_id % 13 <> 0 THEN '  ' || user_id || ' ' END AS "Device_ID",
+    CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END AS "timestamp",
+    CASE WHEN event_id % 17 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS temp_reported,
+    event_id,
+    concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'Device_ID' END,
+      CASE WHEN event_id % 11 = 0 THEN 'timestamp' END,
+      CASE WHEN event_id % 17 = 0 THEN 'temp_reported' END) AS lost
+  FROM events
+)""",
+    "(SELECT * FROM held WHERE lost <> '')",
+)
+
 # -- projections and filters ---------------------------------------------------------
 _register(
     "haversine_distance",
@@ -493,7 +575,45 @@ DECISION_SHAPE = KEYS | exact(
     "high_risk", "operational_label", "op_best_score", "recommended_action",
 ) | rounded(["thr_attack", "risk_score_combined"])
 _register("decisions", _decided, DECISION_SHAPE, oracle.DECIDED, "decided")
+
+
+def _daily_runs(spark: SparkSession, sf_dir: str) -> str:
+    """Where three runs left their results: even days, odd days, and rows of
+    many days that came late, one batch of them twice."""
+    path = new_path(spark, "daily")
+    decided = materialise(_decided(spark, sf_dir))
+    late, odd = F.col(S.ROW_ID) % 29 == 0, F.day(S.RECEIVED) % 2 == 1
+    daily.save_days(decided.where(~late & ~odd), path)
+    daily.save_days(decided.where(~late & odd), path)
+    for _ in range(2):
+        daily.add_late(decided.where(late), path)
+    return path
+
+
+def _by_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decided with the settings that a run has left."""
+    path = new_path(spark, "settings")
+    meta = results.metadata(spark, CONFIG.persistence, CONFIG.thresholds)
+    results.write_metadata(meta, path)
+    config = results.decision_config(results.read_metadata(spark, path))
+    return decisions.decide(fixture.scored_telemetry(spark, sf_dir), config)
+
+
 _register("predictions_saved", _predictions_back, DECISION_SHAPE, oracle.DECIDED, "decided")
+_register(
+    "predictions_of_daily_runs",
+    lambda spark, sf_dir: results.read_predictions(spark, _daily_runs(spark, sf_dir)),
+    DECISION_SHAPE,
+    oracle.DECIDED,
+    "decided",
+)
+_register(
+    "decisions_from_metadata",
+    _by_metadata,
+    DECISION_SHAPE,
+    oracle.DECIDED,
+    "decided",
+)
 _register(
     "decisions_long_series",
     _on_scored(lambda df: decisions.decide(df, CONFIG, policy=MANY_PIECES)),
@@ -571,6 +691,13 @@ _register(
     oracle.DASHBOARD, "dashboard",
 )
 _register("dashboard_saved_as_csv", _dashboard_back, DASHBOARD_SHAPE, oracle.DASHBOARD, "dashboard")
+_register(
+    "dashboard_of_daily_runs",
+    lambda spark, sf_dir: daily.dashboard(spark, _daily_runs(spark, sf_dir)),
+    DASHBOARD_SHAPE,
+    oracle.DASHBOARD,
+    "dashboard",
+)
 _register(
     "modal_label_per_day",
     _on_decided(
@@ -622,6 +749,15 @@ _register(
     oracle.DAYS,
     "days",
 )
+_register(
+    "anomaly_days_of_daily_runs",
+    lambda spark, sf_dir: cells.anomaly_days_of(
+        daily.read_cells(spark, _daily_runs(spark, sf_dir))
+    ),
+    exact(S.DEVICE, "date", "cyber_hits", "cyber_days", "op_anom", "n"),
+    oracle.DAYS,
+    "days",
+)
 _register(
     "anomaly_summary",
     _on_decided(lambda df: rollups.anomaly_summary(rollups.anomaly_days(df))),
@@ -780,6 +916,47 @@ _register(
           avg(is_cyber_true) AS cyber_prevalence,
           CAST(sum(pred_attack_bin) AS BIGINT) AS cyber_alerts FROM decided)""",
 )
+_register(
+    "overview_of_range",
+    lambda spark, sf_dir: daily.overview(
+        spark, _daily_runs(spark, sf_dir), ("2024-01-05", "2024-01-12")
+    ),
+    exact("devices", "rows") | rounded(["cyber_prevalence"]) | exact("cyber_alerts"),
+    oracle.DECIDED,
+    """(SELECT count(DISTINCT "Device_ID") AS devices, count(*) AS rows,
+          avg(is_cyber_true) AS cyber_prevalence,
+          CAST(sum(pred_attack_bin) AS BIGINT) AS cyber_alerts FROM decided
+        WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12')""",
+)
+
+
+def _devices_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per day, united per year; every order is a device of its own, so
+    the estimate is held against the number of rows."""
+    reports = fixture.finding_telemetry(spark, sf_dir).select(
+        S.DEVICE,
+        F.to_date(S.RECEIVED).alias("date"),
+        F.lit(1).cast("long").alias("n"),
+        *[F.lit(0).cast("long").alias(c) for c in ("attacks", "alerts")],
+    )
+    totals = materialise(cells.day_totals(reports))
+    found = cells.overview_of(totals, F.year("date").alias("year"))
+    return found.withColumn(
+        "within_3_percent", F.abs(F.col("devices") - F.col("rows")) <= 0.03 * F.col("rows")
+    )
+
+
+_register(
+    "devices_per_year",
+    _devices_per_year,
+    exact("year", "rows", "within_3_percent"),
+    """
+years AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS "rows", true AS within_3_percent
+  FROM orders GROUP BY 1
+)""",
+    "years",
+)
 _register(
     "device_ids",
     _on_telemetry(rollups.device_ids),
@@ -806,6 +983,22 @@ _register(
             ORDER BY count(*) DESC, operational_label) AS INTEGER) AS place
         FROM decided GROUP BY "Device_ID", operational_label QUALIFY place <= 3)""",
 )
+# more labels than the sketches track, so that some devices need the full count
+_OPEN_LABEL = F.concat_ws("/", F.col("operational_label"), F.floor(F.col("score_geo") * 50).cast("string"))
+_register(
+    "frequent_labels",
+    _on_decided(
+        lambda df: sketched.frequent_labels(
+            materialise(df.withColumn("operational_label", _OPEN_LABEL)), tracked=64
+        )
+    ),
+    exact(S.DEVICE, "operational_label", "count", "place"),
+    oracle.DECIDED,
+    """(SELECT "Device_ID", operational_label || '/' || CAST(floor(score_geo * 50) AS BIGINT) AS operational_label,
+          count(*) AS count, CAST(row_number() OVER (PARTITION BY "Device_ID"
+            ORDER BY count(*) DESC, operational_label || '/' || CAST(floor(score_geo * 50) AS BIGINT)) AS INTEGER) AS place
+        FROM decided GROUP BY 1, 2 QUALIFY place <= 3)""",
+)
 _HOURLY_SQL = (
     oracle.DECIDED
     + """,
@@ -952,6 +1145,38 @@ for _name, _policy in (("", SplitPolicy()), ("_many_scores", MANY_PIECES)):
         oracle.POINTS,
         _AREA_SQL,
     )
+
+
+def _sketched_areas(df: DataFrame) -> DataFrame:
+    """Areas from sketches of days, merged, beside the exact ones."""
+    scored = evaluate.stack_detectors(split.add_targets(df), SCORES)
+    stacked = materialise(scored)
+    halves = [stacked.where(F.pmod(F.xxhash64("score"), F.lit(2)) == n) for n in (0, 1)]
+    parts = sketched.score_sketches(halves[0]).unionByName(sketched.score_sketches(halves[1]))
+    points = materialise(sketched.sketched_points(sketched.merge_sketches(parts)))
+    near = evaluate.areas(points).select("detector", F.col("pr_auc").alias("pr"), F.col("roc_auc").alias("roc"))
+    exact_areas = evaluate.areas(evaluate.score_points(stacked))
+    return (
+        exact_areas.join(near, "detector")
+        .join(sketched.area_bounds(points), "detector")
+        .select(
+            "detector",
+            (F.abs(F.col("pr") - F.col("pr_auc")) <= 0.02).alias("pr_near"),
+            (F.abs(F.col("roc") - F.col("roc_auc")) <= 0.01).alias("roc_near"),
+            F.col("pr_auc").between(F.col("pr_low"), F.col("pr_high")).alias("pr_bounded"),
+            F.col("roc_auc").between(F.col("roc_low"), F.col("roc_high")).alias("roc_bounded"),
+        )
+    )
+
+
+_register(
+    "sketched_areas",
+    _on_scored(_sketched_areas),
+    exact("detector", "pr_near", "roc_near", "pr_bounded", "roc_bounded"),
+    oracle.POINTS,
+    """(SELECT DISTINCT detector, true AS pr_near, true AS roc_near, true AS pr_bounded,
+          true AS roc_bounded FROM rates)""",
+)
 _register(
     "best_thresholds",
     _on_points(lambda p: evaluate.best_thresholds(p, BETAS)),
@@ -1066,12 +1291,16 @@ def _training_rows(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return materialise(featured.select(*keys, *split.TARGETS, *more))
 
 
+def _trees(rounds: int) -> dict:
+    return {"rounds": F.lit(rounds), "depth": F.lit(SHORT_BOOST.max_depth)}
+
+
 def _operational_scores(df: DataFrame) -> DataFrame:
-    """Trained on one side, scored on the whole table; `rounds` says how many
-    trees a fold has."""
+    """Trained on one side, scored on the whole table; `rounds` and `depth` say
+    how many trees a fold has and how deep they are."""
     rows = _training_rows(df, [c for names, _ in OPERATIONAL.values() for c in names])
     train, _ = split.train_and_validation(rows)
-    scored = rows.withColumn("rounds", F.lit(SHORT_BOOST.operational_iterations))
+    scored = rows.withColumns(_trees(SHORT_BOOST.operational_iterations))
     for name, (inputs, target) in OPERATIONAL.items():
         scored = fit_operational(train, inputs, target, SHORT_BOOST).score(scored, f"score_{name}")
     return scored
@@ -1081,10 +1310,74 @@ def _attack_scores(df: DataFrame) -> DataFrame:
     rows = _training_rows(df, S.ATTACK_FEATURES)
     train, held_out = split.train_and_validation(rows)
     model = fit_attack(train, split.without_augmented(held_out), SHORT_BOOST)
-    scored = rows.withColumn("rounds", F.lit(SHORT_BOOST.attack_iterations))
+    scored = rows.withColumns(_trees(SHORT_BOOST.attack_iterations))
     return model.score(scored, "score_attack_sup")
 
 
+def _saved_detectors(df: DataFrame) -> DataFrame:
+    """All four detectors trained, saved, loaded, and both held side by side on
+    every row; with the area under the curve of the held-out side."""
+    spark = df.sparkSession
+    inputs = [*S.ATTACK_FEATURES, *[c for names, _ in OPERATIONAL.values() for c in names]]
+    rows = _training_rows(df, inputs)
+    train, held_out = split.train_and_validation(rows)
+    fitted = fit_detectors(train, split.without_augmented(held_out), SHORT_BOOST)
+    path = new_path(spark, "detectors")
+    version = save_detectors(spark, fitted, path, CONFIG.persistence)
+    loaded = load_detectors(spark, path, version)
+    keys = (S.ROW_ID, split.VALIDATION, *split.TARGETS)
+    names = ("temp", "geo", "tamper", "attack_sup")
+    fresh = fitted.score(rows).withColumns({f"own_{n}": F.col(f"score_{n}") for n in names})
+    both = materialise(loaded.detectors.score(fresh).select(*keys, *[f"{k}_{n}" for k in ("own", "score") for n in names]))
+    targets = {n: "y_attack" if n == "attack_sup" else f"y_{n}" for n in names}
+    sides = {n: (f"score_{n}", target) for n, target in targets.items()}
+    areas = evaluate.areas(evaluate.score_points(evaluate.stack_detectors(both.where(F.col(split.VALIDATION) == 1), sides)))
+    stacked = both.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(n).alias("detector"), F.col(f"own_{n}").alias("own"), F.col(f"score_{n}").alias("score"))
+                    for n in names
+                ]
+            )
+        ).alias("s")
+    ).select("s.*")
+    found = stacked.groupBy("detector").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("own").eqNullSafe(F.col("score"))).alias("unequal"),
+        F.bool_and(F.col("score").between(0.0, 1.0)).alias("in_bounds"),
+    )
+    same_cuts = loaded.detectors.thresholds == fitted.thresholds and loaded.persistence == CONFIG.persistence
+    return found.join(areas, "detector").select(
+        "detector", "rows", "unequal", "in_bounds", F.lit(same_cuts).alias("same_cuts"), (F.col("roc_auc") > 0.5).alias("better_than_chance")
+    )
+
+
+def _run_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From CSV files to saved results: train and save detectors, then score two
+    halves of the time in two runs into one output. What is compared does not
+    depend on how many trees there are, so there is one for each."""
+    path = new_path(spark, "run")
+    reports = materialise(fixture.telemetry(spark, sf_dir))
+    as_text = {c: F.col(c).cast("string") for c in (S.RECEIVED, S.REPORTED)}
+    rows = reports.withColumns(as_text)
+    first = F.day(F.col(S.RECEIVED).cast("timestamp_ntz")) <= 15
+    files = {"all": rows, "early": rows.where(first), "late": rows.where(~first)}
+    for name, part in files.items():
+        part.write.csv(f"{path}/{name}", header=True)
+    posture = [f.name for f in results.POSTURE_SCHEMA.fields[:-1]]
+    held = fixture.posture(spark, sf_dir).select(*posture, F.lit(0).alias("nist_gap_count"))
+    held.write.csv(f"{path}/posture", header=True)
+    runs.train_and_save(spark, f"{path}/all", f"{path}/models", policy=ONE_TREE)
+    for name in ("early", "late"):
+        runs.alert_with_saved(spark, f"{path}/{name}", f"{path}/posture", f"{path}/models", f"{path}/out")
+    saved = results.read_results(spark, f"{path}/out")
+    counted = saved[results.PREDICTIONS].groupBy(S.DEVICE, "date").agg(F.count(F.lit(1)).alias("rows"))
+    known = F.col("has_cyber").isin(0, 1) & F.col("max_op_score").between(0.0, 1.0)
+    days = saved[results.DASHBOARD].withColumn("in_bounds", known)
+    return days.join(counted, [S.DEVICE, "date"])
+
+
 def _isolation_forest(df: DataFrame) -> DataFrame:
     return fit_forest(df).predict(df)
 
@@ -1099,12 +1392,70 @@ def _risk_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register(
     "operational_scores",
     _on_telemetry(_operational_scores),
-    KEYS | exact("rounds") | rounded([f"score_{name}" for name in OPERATIONAL]),
+    KEYS | exact("rounds", "depth") | rounded([f"score_{name}" for name in OPERATIONAL]),
 )
 _register(
     "attack_scores",
     _on_telemetry(_attack_scores),
-    KEYS | exact("rounds") | rounded(["score_attack_sup"]),
+    KEYS | exact("rounds", "depth") | rounded(["score_attack_sup"]),
+)
+_register(
+    "saved_detectors",
+    _on_telemetry(_saved_detectors),
+    exact("detector", "rows", "unequal", "in_bounds", "same_cuts", "better_than_chance"),
+    """
+held AS (
+  SELECT unnest(['temp', 'geo', 'tamper', 'attack_sup']) AS detector, count(*) AS "rows",
+    CAST(0 AS BIGINT) AS unequal, true AS in_bounds, true AS same_cuts, true AS better_than_chance
+  FROM events
+)""",
+    "held",
+)
+
+
+def _baselines(df: DataFrame) -> DataFrame:
+    """Both baselines fitted on the earlier rows of every device and judged on
+    the later ones: support per class, and whether scores and flags are usable."""
+    train, test = split.train_and_validation(materialise(split.mark_validation(df)))
+    outputs = materialise(runs.run_baselines(train, test))
+    truth = F.expr(X.is_anomaly(S.LABEL)).cast("string")
+    reports = []
+    for name, score, flag in (("isolation", "IF_score", "IF_pred"), ("fusion", "RF_prob", "RF_pred")):
+        report = evaluate.classification_report(outputs, truth, F.col(flag).cast("string"))
+        low, high, share = outputs.agg(F.min(score), F.max(score), F.avg(flag)).first()
+        usable = F.lit(0.0 <= low < high <= 1.0 and 0.0 <= share < 1.0)
+        reports.append(report.select(F.lit(name).alias("baseline"), "label", "support", usable.alias("usable")))
+    return reports[0].unionByName(reports[1])
+
+
+_register(
+    "run_from_files",
+    _run_from_files,
+    exact(S.DEVICE, "date", "rows", "cvss", "epss", "dvd") | rounded(["risk_mean"]) | exact("in_bounds"),
+    oracle.DASHBOARD,
+    """(SELECT "Device_ID", date, count(*) AS "rows", max(cvss) AS cvss, max(epss) AS epss,
+          max(dvd) AS dvd, avg(risk_score_combined) AS risk_mean, true AS in_bounds
+        FROM decided GROUP BY 1, 2)""",
+)
+_register(
+    "baselines",
+    _on_telemetry(_baselines),
+    exact("baseline", "label", "support", "usable"),
+    oracle.TELEMETRY
+    + """,
+later AS (
+  SELECT CAST(primary_label_reported <> 'normal' AS INTEGER) AS t FROM scored
+  QUALIFY row_number() OVER (PARTITION BY "Device_ID" ORDER BY "timestamp", event_id)
+    > greatest(floor(0.8e0 * count(*) OVER (PARTITION BY "Device_ID")), 1)
+),
+supports AS (
+  SELECT CAST(t AS VARCHAR) AS label, count(*) AS support FROM later GROUP BY t
+  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), count(*) FROM later
+),
+rows_of AS (
+  SELECT unnest(['isolation', 'fusion']) AS baseline, label, support, true AS usable FROM supports
+)""",
+    "rows_of",
 )
 _register(
     "isolation_forest",

@@ -16,15 +16,16 @@ from frostline.operators.features import engineer_features
 from frostline.operators.learning.detectors import Detectors, fit_detectors
 from frostline.operators.learning.forest import ForestPolicy, fit_forest
 from frostline.operators.learning.fusion import DECISION_THRESHOLD, fit_fusion
+from frostline.operators.learning.saved import load_detectors, save_detectors
 from frostline.operators.lookups import replace_posture
 from frostline.operators.series import measure
 from frostline.operators.storage import materialise
 from frostline.settings import BoostPolicy, DecisionConfig
-from frostline.sources import results
+from frostline.sources import daily, results
 from frostline.sources.telemetry import has_gps, read_telemetry
 
 
-_TRAINING_KEYS = (S.DEVICE, S.RECEIVED, S.ROW_ID, S.LABEL, "is_augmented", split.VALIDATION)
+_TRAINING_KEYS = (S.DEVICE, S.RECEIVED, S.ROW_ID, S.LABEL, "is_augmented")
 
 
 @dataclass(frozen=True)
@@ -35,20 +36,34 @@ class AlertRun:
     posture: DataFrame
 
 
-def train_detectors(telemetry: DataFrame, policy: BoostPolicy = BoostPolicy()) -> Detectors:
-    """Features are built over the whole series, not per side: frames only look
-    back, so validation rows may see training rows but not the reverse."""
+def training_rows(telemetry: DataFrame, *, three: bool = False) -> DataFrame:
+    """Written rows with targets, side and what the models read. Features are
+    built over the whole series, not per side: frames only look back, so later
+    sides may see earlier rows but not the reverse."""
     sizes = measure(telemetry, [S.DEVICE])
-    marked = split.mark_validation(telemetry, sizes=sizes)
+    mark, side = (split.mark_sides, split.SIDE) if three else (split.mark_validation, split.VALIDATION)
+    marked = mark(telemetry, sizes=sizes)
     gps = has_gps(telemetry)
     featured = split.add_targets(engineer_features(marked, gps=gps, sizes=sizes))
-    # only what the models read is written
     inputs = {*S.TEMP_FEATURES, *S.GEO_FEATURES, *S.TAMPER_FEATURES, *S.ATTACK_FEATURES}
-    rows = materialise(
-        featured.select(
-            *_TRAINING_KEYS, *split.TARGETS, *sorted(inputs - set(_TRAINING_KEYS))
-        )
+    keys = (*_TRAINING_KEYS, side)
+    return materialise(
+        featured.select(*keys, *split.TARGETS, *sorted(inputs - {*keys}))
     )
+
+
+def train_detectors(
+    telemetry: DataFrame, policy: BoostPolicy = BoostPolicy(), *, separate_thresholds: bool = False
+) -> Detectors:
+    """Detectors trained on the earlier and calibrated on the later rows of every
+    device. ``separate_thresholds`` splits in three: thresholds are then chosen on
+    rows that no score was calibrated on."""
+    rows = training_rows(telemetry, three=separate_thresholds)
+    if separate_thresholds:
+        train, held_out, last = split.three_sides(rows)
+        return fit_detectors(
+            train, split.without_augmented(held_out), policy, choose_on=split.without_augmented(last)
+        )
     train, held_out = split.train_and_validation(rows)
     return fit_detectors(train, split.without_augmented(held_out), policy)
 
@@ -76,6 +91,67 @@ def alert(
     )
 
 
+def train_and_save(
+    spark: SparkSession,
+    train_paths: str | Sequence[str],
+    models: str,
+    *,
+    format: str = "csv",
+    timestamp_pattern: str | None = None,
+    policy: BoostPolicy = BoostPolicy(),
+    config: DecisionConfig = DecisionConfig(),
+    notes: str = "",
+) -> int:
+    """Train on telemetry from files and save the detectors; their version."""
+    telemetry = read_telemetry(
+        spark, train_paths, format=format, timestamp_pattern=timestamp_pattern
+    )
+    return save_detectors(
+        spark, train_detectors(telemetry, policy), models, config.persistence, notes
+    )
+
+
+def alert_with_saved(
+    spark: SparkSession,
+    test_paths: str | Sequence[str],
+    posture_path: str,
+    models: str,
+    output: str,
+    *,
+    version: int | None = None,
+    format: str = "csv",
+    timestamp_pattern: str | None = None,
+    config: DecisionConfig = DecisionConfig(),
+) -> AlertRun:
+    """Score, decide, roll up and save new telemetry with saved detectors. Their
+    thresholds and persistence hold; nothing is trained."""
+    saved = load_detectors(spark, models, version)
+    telemetry = read_telemetry(
+        spark, test_paths, format=format, timestamp_pattern=timestamp_pattern
+    )
+    posture = results.read_posture(spark, posture_path)
+    config = replace(config, persistence=saved.persistence)
+    run = alert(telemetry, posture, saved.detectors, config)
+    _save(spark, run, posture, config, output, f"detectors of version {saved.version}")
+    return run
+
+
+def _save(
+    spark: SparkSession,
+    run: AlertRun,
+    posture: DataFrame,
+    config: DecisionConfig,
+    output: str,
+    notes: str = "",
+) -> None:
+    """The run's days replace stored ones; the dashboard covers every stored day."""
+    daily.save_days(run.decided, output)
+    results.write_dashboard(daily.dashboard(spark, output), output)
+    results.write_posture(posture, run.posture, output)
+    meta = results.metadata(spark, config.persistence, run.detectors.thresholds, notes)
+    results.write_metadata(meta, output)
+
+
 def run_alerts(
     spark: SparkSession,
     train_paths: str | Sequence[str],
@@ -95,12 +171,7 @@ def run_alerts(
 
     posture = results.read_posture(spark, posture_path)
     run = alert(read(test_paths), posture, train_detectors(read(train_paths), policy), config)
-    results.write_predictions(run.decided, output)
-    results.write_dashboard(run.dashboard, output)
-    results.write_posture(posture, run.posture, output)
-    results.write_metadata(
-        results.metadata(spark, config.persistence, run.detectors.thresholds), output
-    )
+    _save(spark, run, posture, config, output)
     return run
 
 

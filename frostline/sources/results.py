@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline import settings as S
-from frostline.settings import Persistence, Thresholds
+from frostline.settings import DecisionConfig, Persistence, Thresholds
 from frostline.sources.telemetry import as_flag_value, require_columns
 
 PREDICTIONS = "predictions"
@@ -73,14 +73,26 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FINDINGS_SCHEMA).csv(path, header=True)
 
 
-def write_predictions(df: DataFrame, base: str, *, format: str = "parquet") -> None:
-    """One folder per day. Rebalancing on the day keeps the files of a day few
-    and lets the engine split a day that is too large for one task."""
+def write_by_day(
+    df: DataFrame, path: str, *, format: str = "parquet", replace_all: bool = False, **options: object
+) -> None:
+    """One folder per day of the column ``date``. The days in df replace stored
+    ones, other days stay, unless ``replace_all``. Rebalancing on the day keeps
+    the files of a day few and lets the engine split a day that is too large for
+    one task."""
+    mode = "static" if replace_all else "dynamic"
+    writer = df.hint("rebalance", "date").write.mode("overwrite").format(format)
+    writer.options(partitionOverwriteMode=mode, **options).partitionBy("date").save(path)
+
+
+def write_predictions(
+    df: DataFrame, base: str, *, format: str = "parquet", replace_all: bool = False
+) -> None:
     dated = df.withColumn("date", F.to_date(S.RECEIVED))
-    writer = dated.hint("rebalance", "date").write.mode("overwrite").format(format)
-    if format == "csv":
-        writer = writer.option("header", True)
-    writer.partitionBy("date").save(f"{base}/{PREDICTIONS}")
+    options = {"header": True} if format == "csv" else {}
+    write_by_day(
+        dated, f"{base}/{PREDICTIONS}", format=format, replace_all=replace_all, **options
+    )
 
 
 def write_dashboard(df: DataFrame, base: str, *, format: str = "parquet") -> None:
@@ -120,6 +132,24 @@ def read_metadata(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(METADATA_SCHEMA).json(f"{base}/{METADATA}", multiLine=True)
 
 
+def decision_config(meta: DataFrame, config: DecisionConfig = DecisionConfig()) -> DecisionConfig:
+    """``config`` with the persistence and thresholds that saved metadata names;
+    what it does not name stays."""
+    row = meta.first()
+    if row is None:
+        return config
+
+    def named(base, found: dict | None):
+        known = {k: v for k, v in (found or {}).items() if k in asdict(base) and v is not None}
+        return replace(base, **known)
+
+    return replace(
+        config,
+        persistence=named(config.persistence, row["persistence"]),
+        thresholds=named(config.thresholds, row["thresholds"]),
+    )
+
+
 def read_dashboard(
     spark: SparkSession, base: str, *, format: str = "parquet"
 ) -> DataFrame:

@@ -59,7 +59,7 @@ def _brute_force(pairs):
     return area(pr), area(roc), roc
 
 
-@pytest.mark.parametrize("policy", [SplitPolicy(), SplitPolicy(max_rows=20, candidates_per_piece=4)])
+@pytest.mark.parametrize("policy", [SplitPolicy(), SplitPolicy(max_rows=20)])
 def test_areas_against_brute_force(spark, policy):
     rng = np.random.default_rng(3)
     pairs = [(round(float(s), 2), int(rng.random() < s)) for s in rng.random(300)]

@@ -29,7 +29,7 @@ def _assert_close(actual, expected, columns, tolerance=1e-6):
 
 @pytest.mark.parametrize(
     "policy",
-    [SplitPolicy(), SplitPolicy(max_rows=60, candidates_per_piece=4), SplitPolicy(max_rows=7, candidates_per_piece=1)],
+    [SplitPolicy(), SplitPolicy(max_rows=60), SplitPolicy(max_rows=7)],
     ids=["whole", "pieces", "tiny_pieces"],
 )
 def test_features_agree_with_their_definition(spark, frame, policy):

@@ -48,7 +48,7 @@ def test_scaling_uses_the_population_deviation(spark):
     assert {r["z_b"] for r in scaling.apply(df).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("policy", [SplitPolicy(), SplitPolicy(max_rows=40, candidates_per_piece=4)])
+@pytest.mark.parametrize("policy", [SplitPolicy(), SplitPolicy(max_rows=40)])
 def test_folds_are_even_per_class_and_contiguous(spark, planted, policy):
     df = split.add_targets(planted)
     pdf = stratified_folds(df, "y_temp", policy=policy).toPandas()

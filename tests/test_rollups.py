@@ -1,6 +1,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from frostline import settings as S
 from frostline.operators import rollups
@@ -174,3 +175,21 @@ def test_rollups_aggregate_before_the_shuffle(spark, sf_dir):
     assert "partial_avg" in plan and "partial_" in plan
     label = rollups.top_labels(_decided(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in label
+
+
+def test_a_gap_of_decades_is_made_of_bounded_arrays(spark):
+    """One clock at 1970: about 5.7 million bins, no array of more than a block."""
+    rows = [("A", datetime(1970, 1, 1), 0.5, 1, 0), ("A", datetime(2024, 3, 1, 0, 5), 0.25, 0, 1), ("B", datetime(2024, 3, 1), 0.1, 0, 0)]
+    rows += [("B", datetime(2024, 3, 1, 0, 20), 0.2, 0, 0)]
+    bins = spark.createDataFrame(rows, "Device_ID string, timestamp timestamp_ntz, score_attack_sup double, pred_attack_bin int, is_cyber_true int")
+    filled = rollups.fill_bins(bins)
+    assert filled.dtypes == bins.dtypes
+    bounds = filled.groupBy("Device_ID").agg(
+        F.count(F.lit(1)), F.countDistinct("timestamp"), F.min("timestamp"), F.max("timestamp"), F.count("score_attack_sup")
+    )
+    first, last = datetime(1970, 1, 1), datetime(2024, 3, 1, 0, 5)
+    size = int((last - first).total_seconds()) // 300 + 1
+    found = {r[0]: tuple(r)[1:] for r in bounds.collect()}
+    assert found == {"A": (size, size, first, last, 2), "B": (5, 5, datetime(2024, 3, 1), datetime(2024, 3, 1, 0, 20), 2)}
+    assert "sequence(" in filled._jdf.queryExecution().optimizedPlan().toString()
+    assert filled.where("timestamp = timestamp_ntz'1970-01-01 00:05:00' AND score_attack_sup IS NULL").count() == 1

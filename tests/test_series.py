@@ -49,9 +49,9 @@ def _expected(rows):
 
 POLICIES = [
     SplitPolicy(),
-    SplitPolicy(max_rows=50, candidates_per_piece=8),
-    SplitPolicy(max_rows=10, candidates_per_piece=2),
-    SplitPolicy(max_rows=3, candidates_per_piece=1),
+    SplitPolicy(max_rows=50),
+    SplitPolicy(max_rows=10),
+    SplitPolicy(max_rows=3),
 ]
 
 
@@ -76,7 +76,7 @@ def test_state_is_carried_across_pieces(spark, policy):
 @given(seed=st.integers(0, 10_000), ties=st.sampled_from([1, 20, 150]))
 def test_any_order_and_ties(spark, seed, ties):
     rows = _random_rows(150, seed=seed, ties=ties)
-    actual, n = _actual(_frame(spark, rows), SplitPolicy(max_rows=8, candidates_per_piece=2))
+    actual, n = _actual(_frame(spark, rows), SplitPolicy(max_rows=8))
     assert n == len(rows)
     assert actual == _expected(rows)
 
@@ -84,7 +84,7 @@ def test_any_order_and_ties(spark, seed, ties):
 def test_a_group_with_one_single_time_is_still_cut(spark):
     rows = [("hot", 1.0, i, 1, 1) for i in range(300)]
     df = _frame(spark, rows)
-    g = lay_out(df, ["g"], ("at", "id"), policy=SplitPolicy(max_rows=30, candidates_per_piece=8))
+    g = lay_out(df, ["g"], ("at", "id"), policy=SplitPolicy(max_rows=30))
     sizes = [r["count"] for r in g.rows.groupBy(PIECE).count().collect()]
     assert sum(sizes) == 300
     assert len(sizes) > 5 and max(sizes) < 150
@@ -108,7 +108,7 @@ def test_empty_table(spark):
 
 def test_piece_number_never_decreases(spark):
     rows = _random_rows(300, seed=9)
-    g = lay_out(_frame(spark, rows), ["g"], ("at", "id"), policy=SplitPolicy(max_rows=20, candidates_per_piece=2))
+    g = lay_out(_frame(spark, rows), ["g"], ("at", "id"), policy=SplitPolicy(max_rows=20))
     pdf = g.rows.where("g = 'hot'").toPandas()
     pdf = pdf.sort_values(["at", "id"], na_position="last")
     assert (np.diff(pdf[PIECE]) >= 0).all()
@@ -117,7 +117,7 @@ def test_piece_number_never_decreases(spark):
 
 def test_lead_rows_are_limited_before_the_shuffle(spark):
     df = _frame(spark, _random_rows(200, seed=2))
-    g = lay_out(df, ["g"], ("at", "id"), lookback=6, policy=SplitPolicy(max_rows=20, candidates_per_piece=2))
+    g = lay_out(df, ["g"], ("at", "id"), lookback=6, policy=SplitPolicy(max_rows=20))
     plan = g.rows._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert "NestedLoopJoin" not in plan

@@ -2,6 +2,7 @@ import json
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from frostline import settings as S
@@ -16,9 +17,12 @@ from frostline.sources.telemetry import (
     feature_availability,
     first_existing,
     has_gps,
+    loss_report,
     normalise,
+    quarantined,
     read_telemetry,
     require_columns,
+    write_telemetry,
 )
 
 
@@ -181,3 +185,71 @@ def test_csv_dashboard_reads_back(spark, tmp_path, zone):
     results.write_dashboard(df, str(tmp_path / "out"), format="csv")
     found = results.read_results(spark, str(tmp_path / "out"), format="csv")[results.DASHBOARD]
     assert found.dtypes == df.dtypes and [tuple(r) for r in found.collect()] == [row]
+
+
+def _scan(df):
+    """Rows that the one scan of df handed on, after row groups were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    return leaf.toString(), leaf.metrics().apply("numOutputRows").value()
+
+
+def test_device_filters_reach_the_files(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "layout")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    telemetry = fixture.telemetry(spark, sf_dir)
+    more = telemetry.withColumn("Device_ID", F.explode(F.array([F.concat("Device_ID", F.lit(f"-{k}")) for k in range(40)])))
+    write_telemetry(more, path, partitions=4, row_group_bytes=32 << 10)
+    total = more.count()
+    everything = read_telemetry(spark, path, format="parquet")
+    assert everything.count() == total
+    for rows in (
+        everything.where("Device_ID = 'D002-7'"),
+        read_telemetry(spark, path, format="parquet", devices=["D002-7"]),
+    ):
+        text, read = _scan(rows)
+        assert "EqualTo(Device_ID,D002-7)" in text or "In(Device_ID" in text
+        assert rows.count() == telemetry.where("Device_ID = 'D002'").count() <= read < total / 4
+    text, read = _scan(read_telemetry(spark, path, format="parquet", devices=["D002-7", "D004-1"], between=("2024-01-05", "2024-01-06")))
+    assert "GreaterThanOrEqual(timestamp,2024-01-05T00:00)" in text and read < total / 4
+    # no such device: the Bloom filter leaves nothing to read
+    text, read = _scan(everything.where("Device_ID = 'D002-70'"))
+    assert read == 0
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_ids_of_other_files_are_trimmed_before_they_are_compared(spark, tmp_path):
+    path = str(tmp_path / "foreign")
+    raw = [(" A ", datetime(2024, 1, 1), "normal"), ("A", datetime(2024, 1, 2), "normal"), (None, datetime(2024, 1, 3), "normal"), ("B", None, "normal")]
+    spark.createDataFrame(raw, "Device_ID string, timestamp timestamp_ntz, primary_label_reported string").write.parquet(path)
+    assert read_telemetry(spark, path, format="parquet", devices=["A"]).count() == 2
+    assert read_telemetry(spark, path, format="parquet", devices=["nan"]).count() == 1
+    assert read_telemetry(spark, path, format="parquet", between=("2024-01-02", "2024-01-03")).count() == 1
+    layout = str(tmp_path / "layout")
+    write_telemetry(read_telemetry(spark, path, format="parquet"), layout, partitions=2)
+    again = read_telemetry(spark, layout, format="parquet", devices=["A", "nan"])
+    assert sorted(r["Device_ID"] for r in again.collect()) == ["A", "A", "nan"]
+    assert not has_gps(again)
+
+
+def test_lost_cells_are_counted_in_one_pass(spark, tmp_path):
+    header = "Device_ID,timestamp,primary_label_reported,temp_reported,cvss,tamper_reported\n"
+    lines = "A,2024-01-01,normal,4.5,NaN,1.0\nA,never,normal,cold,,0.5\n,2024-01-02,normal, ,nan,x\nB,2024-01-03,,5,1e3,\n"
+    path = _write(tmp_path / "t.csv", header + lines)
+    seen = Observation("typing")
+    typed = read_telemetry(spark, path, observation=seen)
+    assert typed.count() == 4
+    counts = {r["column"]: (r["lost"], r["rows"]) for r in loss_report(spark, seen).collect()}
+    assert counts == {"Device_ID": (1, 4), "timestamp": (1, 4), "temp_reported": (1, 4), "cvss": (0, 4), "tamper_reported": (2, 4)}
+    raw = spark.read.csv(path, header=True)
+    kept = {tuple(r["lost"]): r["temp_reported"] for r in quarantined(raw).collect()}
+    assert kept == {("timestamp", "temp_reported", "tamper_reported"): "cold", ("Device_ID", "tamper_reported"): " "}
+
+
+def test_nothing_is_lost_from_typed_telemetry(spark, sf_dir):
+    telemetry = fixture.telemetry(spark, sf_dir)
+    assert quarantined(telemetry).count() == 0
+    seen = Observation("typing")
+    assert normalise(telemetry.limit(0), observation=seen).count() == 0
+    assert {r["lost"] for r in loss_report(spark, seen).collect()} == {0}
