@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 BATCH_ROWS = 1000
@@ -42,17 +43,39 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return found
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of `written` that nothing reads any more, and let Spark drop
-    the shuffle files of plans that are gone: it does so when the driver collects
-    its garbage, which may be long after a large step."""
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more."""
     for table in tables:
         jvm = table.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.frostline_path)
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables, and let Spark drop the shuffle files of plans that are gone:
+    it does so when the driver collects its garbage, which may be long after a
+    large step."""
+    drop(*tables)
+    for table in tables[:1]:
+        release(table)
+
+
+def release(table: DataFrame) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to."""
     gc.collect()
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    table.sparkSession.sparkContext._jvm.System.gc()
+
+
+def bounded(rows: DataFrame, limit: int, *by: str) -> DataFrame:
+    """A written sample with at most twice `limit` rows. A sample that was taken
+    by id has more where ids repeat; then the `limit` rows with the lowest hashes
+    of `by` stay."""
+    sample = written(rows, "sample")
+    if sample.count() <= 2 * limit:
+        return sample
+    fewer = written(sample.orderBy(F.xxhash64(*by), *by).limit(limit), "sample")
+    discard(sample)
+    return fewer
 
 
 def bounded_batches(spark: SparkSession) -> None:

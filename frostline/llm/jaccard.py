@@ -23,10 +23,16 @@ Two sets differ in at least as many shingles as in bits.
 Groups. Equal sets are one class throughout. Members of one signature are not
 paired with each other: each is compared with one hub, links are joined into
 components, and only signatures whose members still lie in several components
-are looked at again, with another hub. After `HUB_ROUNDS` rounds the pairs across
-components that share a signature are compared one by one, so no link that would
-join two components is lost. A group of copies thus costs one comparison per
-member and round, not one per pair.
+are looked at again, with another hub. A group of copies thus costs one comparison
+per member and round, not one per pair.
+
+The rest. After `HUB_ROUNDS` rounds, only a link across components matters, and
+all shingles of its intersection are held in two components or more. So a class
+of n shingles needs p n / 100 such shingles; classes that have fewer lose no link
+and go, which can leave other shingles in one component only, and so on (up to
+`PEELS` times). Texts that share passages and differ elsewhere go at once. What stays meets in the
+prefix of its crossing shingles, the rarest first, and these pairs are compared
+one by one, so no link that would join two components is lost.
 
 Components come from repeated minimum labels with pointer jumping on written
 tables. Nothing about documents is gathered on the driver.
@@ -51,6 +57,8 @@ from frostline.llm.rows import partial_rows
 
 FRAGMENTS = 8
 HUB_ROUNDS = 3
+PEELS = 4
+PASSES = 4
 FILTER_WORDS = 1 << 15
 SMALLEST_CLASS, CLASS_RATIO = 8, 1.5
 LEAST_CELLS = 1024
@@ -258,13 +266,15 @@ def _some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(class, label) with the smallest label that is reached by links (a, b).
     Labels of linked components meet until none changes; a label then points at
-    its own smallest label, which halves every chain."""
+    its own smallest label, which halves every chain. `labels` is a written table
+    that goes once newer ones are written."""
     while True:
         ends = links.join(labels.select(F.col("class").alias("a"), F.col("label").alias("x")), "a").join(
             labels.select(F.col("class").alias("b"), F.col("label").alias("y")), "b"
         )
         ends = common.written(ends.filter("x <> y").select("x", "y").distinct(), "ends")
         if ends.isEmpty():
+            common.drop(ends)
             return labels
         smallest = (
             ends.select(F.greatest("x", "y").alias("label"), F.least("x", "y").alias("to"))
@@ -272,74 +282,162 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
             .agg(F.min("to").alias("to"))
         )
         smallest = common.written(smallest, "smallest")
+        common.drop(ends)
         while True:
-            jumped = smallest.alias("s").join(
-                smallest.select(F.col("label").alias("to"), F.col("to").alias("further")), "to", "left"
-            )
-            moved = F.count(F.col("further")).alias("moved")
+            onward = smallest.select(F.col("label").alias("to"), F.col("to").alias("further"))
+            jumped = smallest.select("label", "to").join(onward, "to", "left")
+            changed = F.count_if(F.col("further").isNotNull()).alias("changed")
             jumped = common.written(jumped.select("label", F.coalesce("further", "to").alias("to"), "further"), "jumped")
-            smallest = jumped.select("label", "to")
-            if not jumped.agg(moved).first()["moved"]:
+            common.drop(smallest)
+            smallest = jumped
+            if not jumped.agg(changed).first()["changed"]:
                 break
-        labels = common.written(
-            labels.join(smallest, "label", "left").select("class", F.coalesce("to", "label").alias("label")), "labels"
+        newer = labels.join(smallest.select("label", "to"), "label", "left")
+        newer = common.written(newer.select("class", F.coalesce("to", "label").alias("label")), "labels")
+        common.drop(labels, smallest)
+        labels = newer
+
+
+def _grams(docs: DataFrame, classes: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """(class, n, part, grams), written, of the classes in `some` (class)."""
+    texts = _some_texts(docs, classes.join(some, "class", "left_semi").select("doc_id").distinct())
+    grams = partial_rows(texts, ["text"], "class long, n long, part int, grams array<long>", _fragments(size))
+    return common.written(grams.join(some, "class", "left_semi").dropDuplicates(["class", "part"]), "fragments")
+
+
+def _near(n: Column, other: Column, percent: int) -> Column:
+    return (n * 100 >= other * percent) & (other * 100 >= n * percent)
+
+
+def _links_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The written links among pairs (a, b)."""
+    likely = common.written(possible(pairs, classes, percent), "possible")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    grams = _grams(docs, classes, ends, size)
+    links = common.written(linked(likely, grams, percent), "links")
+    common.discard(grams, likely)
+    return links
+
+
+def _enough(grams: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The classes, written, that hold enough shingles of two components or more.
+    Parts of the order are counted one after the other, so no more than a share of
+    the shingles is shuffled at once; counts per class are all that is kept."""
+    counted = []
+    by_gram = Window.partitionBy("gram")
+    for turn in range(PASSES):
+        held = grams.filter(F.col("part") % PASSES == turn).join(labels, "class")
+        held = held.select("class", "label", F.explode("grams").alias("gram"))
+        held = held.withColumns({"low": F.min("label").over(by_gram), "high": F.max("label").over(by_gram)})
+        shared = held.filter("low <> high").groupBy("class").agg(F.count("*").alias("shared"))
+        counted.append(common.written(shared, "shared"))
+        del held, shared
+        common.release(grams)
+    total = counted[0]
+    for more in counted[1:]:
+        total = total.unionByName(more)
+    sizes = grams.groupBy("class").agg(F.max("n").alias("n"))
+    total = total.groupBy("class").agg(F.sum("shared").alias("shared")).join(sizes, "class")
+    found = common.written(total.filter(F.col("shared") * 100 >= F.col("n") * percent).select("class"), "enough")
+    common.drop(*counted)
+    return found
+
+
+def across_components(grams: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes in different components that may be linked.
+    grams: class, n, part, grams; labels: class, label."""
+    enough = _enough(grams, labels, percent)
+    held = grams.join(enough, "class").join(labels, "class")
+    held = common.written(held.select("class", "label", "n", F.explode("grams").alias("gram")), "held")
+    rows = None
+    for _ in range(PEELS):
+        crossing = held.groupBy("gram").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders")
         )
+        crossing = crossing.filter("low <> high").select("gram", "holders")
+        kept = held.select("class", "label", "n", "gram").join(crossing, "gram")
+        shared = kept.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("of"))
+        shared = shared.filter(F.col("shared") * 100 >= F.col("of") * percent).select("class", "shared")
+        kept = common.written(kept.join(shared, "class"), "held")
+        common.drop(held)
+        held, before, rows = kept, rows, kept.count()
+        if rows in (0, before):
+            # nothing is left, or nothing went
+            break
+    common.drop(enough)
+    # of the shared ones so many can be missing that one of the first is common
+    place = F.row_number().over(Window.partitionBy("class").orderBy("holders", "gram"))
+    needed = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
+    prefix = held.withColumn("place", place).filter(F.col("place") <= F.col("shared") - needed + 1)
+    prefix = common.written(prefix.select("gram", "class", "label", "n", "shared", "place"), "prefix")
+
+    def side(name: str) -> DataFrame:
+        return prefix.select("gram", *(F.col(x).alias(f"{x}_{name}") for x in ("class", "label", "n", "shared", "place")))
+
+    # what may follow a common place
+    left = F.least(F.col("shared_a") - F.col("place_a"), F.col("shared_b") - F.col("place_b")) + F.least("place_a", "place_b")
+    total = F.col("n_a") + F.col("n_b")
+    met = side("a").join(side("b"), "gram").filter(
+        (F.col("label_a") < F.col("label_b"))
+        & _near(F.col("n_a"), F.col("n_b"), percent)
+        & (left * (100 + percent) >= total * percent)
+    )
+    pairs = met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+    pairs = common.written(pairs, "pairs")
+    common.discard(held, prefix)
+    return pairs
+
+
+def _open_members(members: DataFrame, number: int) -> DataFrame:
+    """Members (sign, class, label, n) of the signatures whose members have
+    several labels, with a hub per signature; of signatures with the same
+    members, one."""
+    draw = F.xxhash64("class", F.lit(number))
+    hashed = F.xxhash64("class", F.lit("members"))
+    open_signs = members.groupBy("sign").agg(
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.count("*").alias("size"),
+        F.bit_xor(hashed).alias("members"),
+        F.min(F.struct(draw.alias("draw"), "class", "label", "n")).alias("hub"),
+    )
+    open_signs = open_signs.filter("low <> high").groupBy("hub", "size", "members").agg(F.min("sign").alias("sign"))
+    open_signs = open_signs.select("sign", *(F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("class", "label", "n")))
+    return members.join(open_signs, "sign")
 
 
 def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """(class, label) for all classes in `members` (sign, class). Every round
-    goes on with the signatures whose members still have several labels; of
-    signatures with the same members, one."""
-
-    def near(n: Column, other: Column) -> Column:
-        return (n * 100 >= other * percent) & (other * 100 >= n * percent)
-
+    goes on with the signatures whose members still have several labels."""
     labels = common.written(classes.select("class", F.col("class").alias("label")), "labels")
     tested = None
     for number in range(HUB_ROUNDS + 1):
         if number:
-            here = members.join(labels, "class")
+            here = members.select("sign", "class", "n").join(labels, "class")
         else:
             here = members.join(classes.select("class", "n"), "class").withColumn("label", F.col("class"))
-        draw = F.xxhash64("class", F.lit(number))
-        hashed = F.xxhash64("class", F.lit("members"))
-        open_signs = here.groupBy("sign").agg(
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.count("*").alias("size"),
-            F.bit_xor(hashed).alias("members"),
-            F.min(F.struct(draw.alias("draw"), "class", "label", "n")).alias("hub"),
-        )
-        open_signs = open_signs.filter("low <> high").groupBy("hub", "size", "members").agg(F.min("sign").alias("sign"))
-        open_signs = open_signs.select("sign", *(F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("class", "label", "n")))
-        here = common.written(here.join(open_signs, "sign"), "open")
+        here = common.written(_open_members(here, number), "open")
         common.discard(members)
         members = here
         if here.isEmpty():
             break
-        if number < HUB_ROUNDS:
-            pairs = here.filter((F.col("label") != F.col("hub_label")) & near(F.col("n"), F.col("hub_n")))
-            pairs = pairs.select(F.col("class").alias("x"), F.col("hub_class").alias("y"))
+        if number == HUB_ROUNDS:
+            some = common.written(here.select("class", "label").distinct(), "some")
+            grams = _grams(docs, classes, some.select("class"), size)
+            pairs = across_components(grams, some, percent)
+            common.discard(grams, some)
         else:
-            left = here.select("sign", F.col("class").alias("x"), F.col("label").alias("p"), F.col("n").alias("n_x"))
-            right = here.select(F.col("sign").alias("same"), F.col("class").alias("y"), F.col("label").alias("q"), F.col("n").alias("n_y"))
-            across = (F.col("sign") == F.col("same")) & (F.col("p") < F.col("q")) & near(F.col("n_x"), F.col("n_y"))
-            pairs = left.join(right, across).select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        likely = common.written(possible(pairs, classes, percent), "possible")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        texts = _some_texts(docs, classes.join(ends, "class", "left_semi").select("doc_id").distinct())
-        grams = partial_rows(texts, ["text"], "class long, n long, part int, grams array<long>", _fragments(size))
-        grams = common.written(grams.join(ends, "class", "left_semi").dropDuplicates(["class", "part"]), "fragments")
-        links = common.written(linked(likely, grams, percent), "links")
-        common.discard(grams)
+            pairs = here.filter((F.col("label") != F.col("hub_label")) & _near(F.col("n"), F.col("hub_n"), percent))
+            pairs = pairs.select(F.least("class", "hub_class").alias("a"), F.greatest("class", "hub_class").alias("b"))
+            pairs = pairs.distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = common.written(pairs, "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+        links = _links_of(docs, classes, pairs, percent, size)
         labels = components(labels, links)
-        members = here.select("sign", "class", "n")
-        members.frostline_path = here.frostline_path
+        common.discard(links)
+    common.discard(members)
     return labels
 
 

@@ -23,7 +23,7 @@ def test_stages(spark, sf_dir):
             assert after.columns == columns and after.dtypes == docs.dtypes
             assert set(rows(after)) <= set(rows(before))
         if number == 3:
-            groups = brute_groups(rows(before), 85, 4)
+            groups = brute_groups(rows(before), 80, 5)
             assert sorted(r["doc_id"] for r in after.collect()) == sorted({x[2] for x in groups})
         if number == 4:
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
