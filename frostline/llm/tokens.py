@@ -2,15 +2,20 @@
 
 The library takes about a microsecond a character, most of it for finding the
 same words again. `Encoder` cuts a text only where the library's own splitter
-cuts as well, lets the library encode every piece once, and joins the remembered
-ids. The memory is bounded by `MEMORY_PIECES` and emptied when full. A text whose
-cuts are not certain goes to the library whole, so the ids always equal
-`encode(text, add_special_tokens=False)` (tested).
+cuts as well, lets the library encode every piece once, many new ones in one
+call, and joins the remembered ids. The memory is bounded by
+`MEMORY_PIECES` and emptied when full. A text whose cuts are not certain goes to
+the library whole, so the ids always equal `encode(text,
+add_special_tokens=False)` (tested).
+
+Strings of special tokens in a text get the special id, as the library does it by
+default; with `special_as_text` they are ordinary text.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterable
 
 import numpy as np
@@ -19,97 +24,149 @@ from tokenizers import Tokenizer
 
 MEMORY_PIECES = 1_200_000
 
+# a worker has one core
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 _BARE = b"\x02"
+_LINE = _BARE + b"\n"
+_STOPS = b".,;:"
+_SPECIAL = b"<|"
+_BETWEEN = "<|endoftext|>"
+TOGETHER = 1000
 _CONTROLS = bytes([*range(10), *range(11, 32), 127])
 # lead bytes of all white space beyond ASCII, and of some other signs
 _WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb")
 _SPACE_RUNS = (b"  ", b" \n", b"\n ", b"\n\n")
 
 
-class _Folded(dict):
-    """Ids of a lower-case word. The vocabulary drops white space, so words are
-    encoded one by one."""
+def _ends_in_stop(word: bytes) -> bool:
+    """A stop after an ASCII letter, which no folding of case or composing of
+    characters changes, is a piece of its own."""
+    return len(word) > 1 and word[-1] in _STOPS and word[-2:-1].isalpha()
+
 
-    def __init__(self, encode):
-        self.encode = encode
+class _Folded:
+    """Lower-case words. The vocabulary drops white space, so words are encoded
+    one by one."""
 
-    def __missing__(self, piece: bytes) -> bytes:
-        word = piece.decode()
-        if len(word) > 1 and word[-1] in ".,;:" and word[-2].isalpha():
-            ids = self[word[:-1].encode()] + self[word[-1].encode()]
-        else:
-            ids = self.encode(word)
-        self[piece] = ids
-        return ids
+    @staticmethod
+    def cut(raw: bytes) -> list[bytes] | None:
+        return raw.lower().split()
 
+    @staticmethod
+    def parts(piece: bytes) -> tuple[bytes, ...] | None:
+        return (piece[:-1], piece[-1:]) if _ends_in_stop(piece) else ()
 
-class _Spaced(dict):
-    """Ids of a word with the space before it, or of one marked as bare."""
+    @staticmethod
+    def text(piece: bytes) -> str:
+        return piece.decode()
 
-    def __init__(self, encode):
-        self.encode = encode
 
-    def __missing__(self, piece: bytes) -> bytes:
-        lines = piece.split(b"\n")
-        if len(lines) > 1:
-            rest = b"".join(self.encode("\n") + self[_BARE + x] for x in lines[1:])
-            ids = (self[lines[0]] if lines[0] != _BARE else b"") + rest
-        elif piece == _BARE:
-            ids = b""
-        else:
-            bare = piece[:1] == _BARE
-            word = piece[bare:].decode()
-            if len(word) > 1 and word[-1] in ".,;:" and word[-2].isalpha():
-                ids = self[piece[:-1]] + self[_BARE + piece[-1:]]
-            else:
-                ids = self.encode(word if bare else " " + word)
-        self[piece] = ids
-        return ids
+class _Spaced:
+    """Words with the space before them, or marked as bare."""
+
+    @staticmethod
+    def cut(raw: bytes) -> list[bytes] | None:
+        if (
+            any(x in raw for x in _SPACE_RUNS)
+            or any(x in raw for x in _WIDE_SPACE)
+            or len(raw.translate(None, _CONTROLS)) < len(raw)
+        ):
+            return None
+        pieces = raw.split(b" ")
+        pieces[0] = _BARE + pieces[0]
+        return pieces
+
+    @staticmethod
+    def parts(piece: bytes) -> tuple[bytes, ...] | None:
+        """The pieces that a piece is made of, if any; None: it has no ids."""
+        if piece == _BARE:
+            return None
+        first, *more = piece.split(b"\n")
+        if more and piece != _LINE:
+            lines = (x for line in more for x in (_LINE, _BARE + line))
+            return (*(() if first == _BARE else (first,)), *lines)
+        if _ends_in_stop(piece.removeprefix(_BARE)):
+            return piece[:-1], _BARE + piece[-1:]
+        return ()
+
+    @staticmethod
+    def text(piece: bytes) -> str:
+        return piece[1:].decode() if piece[:1] == _BARE else " " + piece.decode()
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, `end_id` appended.
-    Null counts as empty. Strings of special tokens are ordinary text."""
+    Null counts as empty."""
 
-    def __init__(self, name: str, end_id: int, pieces: int = MEMORY_PIECES):
+    def __init__(self, name: str, end_id: int, pieces: int = MEMORY_PIECES, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         # such a vocabulary folds case and treats all white space alike
-        self.folds = self.tokenizer.normalizer is not None
-        self.memory = (_Folded if self.folds else _Spaced)(self.library)
+        self.way = _Folded if self.tokenizer.normalizer is not None else _Spaced
+        self.special_as_text = special_as_text
+        self.memory: dict[bytes, bytes] = {}
+        self.between = None if special_as_text else self.tokenizer.token_to_id(_BETWEEN)
         self.end = end_id.to_bytes(4, "little")
         self.pieces = pieces
 
-    def library(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+    def _of_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of many short texts. A special token, which no piece holds, stands
+        between them: the library splits there before all else, and its cost per
+        call is shared."""
+        if self.between is None:
+            return self.library(texts)
+        out: list[bytes] = []
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([_BETWEEN.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            edges = np.concatenate(([-1], np.flatnonzero(ids == self.between), [len(ids)]))
+            raw, starts, ends = ids.tobytes(), 4 * (edges[:-1] + 1), 4 * edges[1:]
+            out += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return out
 
-    def _cut(self, text: str) -> list[bytes] | None:
+    def _cut(self, raw: bytes) -> list[bytes] | None:
         """Pieces between certain cuts, or None."""
-        raw = text.encode()
-        if self.folds:
-            return raw.lower().split()
-        if (
-            any(x in raw for x in _SPACE_RUNS)
-            or any(x in raw for x in _WIDE_SPACE)
-            or len(raw.translate(None, _CONTROLS)) < len(raw)
-        ):
+        if not self.special_as_text and _SPECIAL in raw:
             return None
-        pieces = raw.split(b" ")
-        pieces[0] = _BARE + pieces[0]
-        return pieces
+        return self.way.cut(raw)
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Remember pieces, those that are made of others after these."""
+        memory, made, plain, waiting = self.memory, [], {}, list(new)
+        while waiting:
+            piece = waiting.pop()
+            parts = self.way.parts(piece)
+            if parts is None:
+                memory[piece] = b""
+            elif parts:
+                made.append((piece, parts))
+                waiting += [x for x in parts if x not in memory and x not in plain]
+            elif piece not in plain:
+                plain[piece] = self.way.text(piece)
+        memory.update(zip(plain, self._of_pieces(list(plain.values())), strict=True))
+        for piece, parts in reversed(made):
+            memory[piece] = b"".join([memory[x] for x in parts])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        recall, out = self.memory.__getitem__, []
+        cut, whole = [], []
         for text in texts:
-            pieces = self._cut(text) if text else []
+            pieces = self._cut(raw := text.encode()) if text else []
             if pieces is None:
-                out.append(self.library(text) + self.end)
-            else:
-                out.append(b"".join(map(recall, pieces)) + self.end)
-            if len(self.memory) > self.pieces:
-                self.memory.clear()
-        return out
+                whole.append(raw.decode())
+            cut.append(pieces)
+        own = iter(self.library(whole))
+        if len(self.memory) > self.pieces:
+            self.memory = {}
+        new = set().union(*(x for x in cut if x)).difference(self.memory)
+        if new:
+            self._learn(new)
+        recall = self.memory.__getitem__
+        return [(next(own) if x is None else b"".join(map(recall, x))) + self.end for x in cut]
 
 
 @functools.cache

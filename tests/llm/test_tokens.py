@@ -1,5 +1,6 @@
 """Token ids against the library, the code files against the ids."""
 
+import random
 import zlib
 
 import numpy as np
@@ -19,7 +20,6 @@ TEXTS = [
 
 def library_ids(name, end, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
@@ -32,6 +32,27 @@ def test_pieces_give_the_library_ids(name, pieces):
         assert found == library_ids(name, 2, TEXTS)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_random_strings(name):
+    """Stops, case that folds to several characters, marks, specials, space."""
+    rng = random.Random(7)
+    signs = ["a", "İ", "I", "ß", "é", "e\u0301", "\u0307", "ǅ", "Σ", "ª", "º", "µ", "1", "²", ".", ",", ";", ":", "'s", "'", "\n", "\t", " ", "  "]
+    signs += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "\xa0", "\u2003", "\u0345", "漢", "😀", "\x1c", "\x85", "Word", "word."]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    encoder = Encoder(name, 2)
+    wanted = library_ids(name, 2, texts)
+    for at in range(0, len(texts), 500):
+        found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[at : at + 500])]
+        assert found == wanted[at : at + 500]
+
+
+def test_special_strings(spark):
+    """By default as the library reads them, or as ordinary text."""
+    text = "a <|endoftext|> b"
+    found = [np.frombuffer(Encoder("byte_bpe_50k.json", 0, special_as_text=x).encode([text])[0], "<u4").tolist() for x in (False, True)]
+    assert 50256 in found[0] and 50256 not in found[1] and len(found[1]) > len(found[0])
+
+
 @pytest.mark.parametrize("size", [0, 1, 7, 8, 511, 512, 513, 5000])
 def test_levels_keep_every_id(size):
     ids = np.random.default_rng(size).choice([0, 255, 256, 65535, 65536, 2**32 - 1, 49406], size).astype(np.uint32)
