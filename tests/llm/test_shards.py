@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from frostline.llm import common, shards
 
@@ -39,6 +40,25 @@ def test_order_is_shuffled_and_follows_the_seed(spark):
     assert 110 < ups < 190
 
 
+def test_order_does_not_follow_the_layout(spark):
+    rows = [(k if k % 3 else None, f"t{k}", "p") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, position string")
+    found = []
+    for parts in (1, 7):
+        path = common.new_path(spark, "shards")
+        shards.shard(frame.repartition(parts), 5, path, bucket_bytes=2000)
+        back = spark.read.schema("record struct<doc_id: long, text: string>, slot long, shard int").parquet(path)
+        found.append(sorted((r["record"]["text"], r["shard"], r["slot"]) for r in back.collect()))
+    assert found[0] == found[1]
+
+
+def test_null_and_repeated_ids_do_not_fill_a_bucket(spark):
+    rows = [((None, 5, k)[k % 3], f"text {k}") for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select(F.struct("*").alias("record"))
+    sizes = [r["count"] for r in frame.groupBy(shards._bucket(10, 1)).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 400
+
+
 def test_no_rows(spark):
     assert run(spark, [(1, "x")], 2) and not [
         r for r in run(spark, [(1, "x")], 2) if r["record"]["doc_id"] != 1
