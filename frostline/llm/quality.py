@@ -15,7 +15,10 @@ not reject clean documents.
 
 Edge cases: a null text has no words, no lines and no symbols, and fails the base
 rules as all short texts do; statistics without a denominator are 0; without
-labelled rows, or with one class only, the list is empty and rejects nothing.
+labelled rows, or with one class only, the list is empty and rejects nothing; an
+id with labels of both kinds teaches nothing; equal rows get equal verdicts; texts
+of any length are judged whole; an empty table gives no rows. `judge` carries all
+columns and replaces one named `statistics`.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frostline.llm import common
+
 TRAIN_ROWS = 20_000
 PRECISION = 0.9
 LEAST_COVER = 12
@@ -236,23 +241,36 @@ def _first_rule(rules: list[Rule], counts: Column) -> Column:
     return F.lit(0) if verdict is None else verdict.otherwise(0)
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> list[Rule]:
-    """Rules for quality 0 from labelled documents that pass the base rules.
-    docs: doc_id, text; labels: doc_id, quality."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """quality, hash and text of at most train_rows labelled rows, written: the
+    texts stand still before anything is computed from them. A doc_id with
+    different labels teaches nothing. Rows are picked by a hash of id and text, so
+    an id that repeats does not fill the sample."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    known = known.filter("quality = other").select("doc_id", "quality")
     count = known.count()
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     if count > train_rows:
         known = known.filter(order < int(1_000_000 * train_rows / count))
-    # bounded by train_rows
+    # about train_rows ids, whatever the size of the table
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = rows.select("quality", order.alias("hash"), judgement(F.col("text"), []).alias("statistics"))
+    rows = rows.select("quality", order.alias("hash"), F.col("text").cast("string").alias("text"))
+    return common.bounded(rows, train_rows, "hash", "text", "quality")
+
+
+def learn_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> list[Rule]:
+    """Rules for quality 0 from labelled documents that pass the base rules.
+    docs: doc_id, text; labels: doc_id, quality."""
+    sample = _sample(docs, labels, train_rows)
+    rows = sample.select("quality", "hash", judgement(F.col("text"), []).alias("statistics"))
     rows = rows.filter(~F.col("statistics.base_failed"))
     values = rates(F.col("statistics"))
     examples = [
         ({k: r[k] for k in values}, r["quality"] == 0, r["hash"])
         for r in rows.select("quality", "hash", *(v.alias(k) for k, v in values.items())).collect()
     ]
+    common.discard(sample)
     examples.sort(key=lambda x: (x[2], sorted(x[0].items()), x[1]))
     return learn(examples)
 
