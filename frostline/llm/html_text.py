@@ -47,11 +47,14 @@ BATCH_BLOCKS = 16_384
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    # parts of a phrase that show no text of their own, and formulas
+    "script style noscript template svg iframe object textarea select optgroup option "
+    "math mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object textarea select option".split())
-SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+SILENT = frozenset("script style noscript template svg iframe object textarea select option annotation".split())
+SELF_CLOSING = frozenset("p li dt dd tr td th".split())
 ARTICLE = frozenset("article main".split())
 ASIDE = frozenset("nav header footer aside form menu title dialog button .ad .ads .comments .sidebar".split())
 
@@ -89,17 +92,16 @@ class _Reader(HTMLParser):
         del self.stack[size:]
 
     def handle_starttag(self, tag, attrs):
-        if tag not in INLINE:
+        if tag not in INLINE and not self.silent:
             self._close_block()
-            if tag in SELF_CLOSING or tag not in SILENT:
-                # an open paragraph ends at any block; an item at the next one
-                for at in range(len(self.stack) - 1, -1, -1):
-                    open_tag = self.stack[at][0]
-                    if open_tag == "p" or (open_tag == tag and tag in SELF_CLOSING):
-                        self._pop(at)
-                        break
-                    if open_tag not in INLINE:
-                        break
+            # an open paragraph ends at any block; an item at the next one
+            for at in range(len(self.stack) - 1, -1, -1):
+                open_tag = self.stack[at][0]
+                if open_tag == "p" or (open_tag == tag and tag in SELF_CLOSING):
+                    self._pop(at)
+                    break
+                if open_tag not in INLINE:
+                    break
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -115,7 +117,8 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
-                if tag not in INLINE:
+                shown = not any(x in SILENT for x, _ in self.stack[: at + 1])
+                if tag not in INLINE and shown:
                     self._close_block()
                 self._pop(at)
                 return
@@ -315,10 +318,12 @@ def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller | None:
     count = some.count()
     if not count:
         return None
+    # of the page and its text, so neither a null or repeated id nor a repeated page fills the sample
+    order = F.xxhash64("page_id", "html")
     if count > train_pages:
-        share = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000))
-        some = some.filter(share < int(1_000_000 * train_pages / count))
-    read = [blocks(r["html"]) for r in some.orderBy("page_id", "html").collect()]
+        some = some.filter(F.pmod(order, F.lit(1_000_000)) < int(1_000_000 * train_pages / count)).distinct()
+    some = some.orderBy(order, "page_id", "html").limit(2 * train_pages)
+    read = [blocks(r["html"]) for r in some.collect()]
     known = [(x, teacher(x)) for x in read if any(teacher(x))]
     if not known:
         return None

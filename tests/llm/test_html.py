@@ -22,6 +22,26 @@ def test_blocks():
     assert len(texts("<p>w</p>" * 5000)) == 5000
 
 
+def test_phrases_go_on_after_what_is_not_shown():
+    for silent in (
+        "<script>x<p></script>", "<style>p{}</style>", "<svg><path d=1><g>t</g></svg>", "<noscript><p>n</p></noscript>",
+        "<select><option>a<option>b</select>", "<iframe>f</iframe>", "<object><p>o</p></object>", "<textarea>t</textarea>",
+    ):
+        assert texts(f"<p>Hello {silent}world</p><p>next</p>") == ["Hello world", "next"], silent
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>") == ["so x=2 holds"]
+    assert texts("<p>a <select><option>b</p><p>c</p>") == ["a", "c"]
+    assert texts("<div>a<svg></div><p>b") == ["a", "b"]
+
+
+def test_a_null_or_repeated_id_does_not_fill_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html, "blocks", lambda x: seen.append(x) or [])
+    rows = [((None, 7, k)[k % 3], f"<p>page {k}</p>") for k in range(3000)] + [(None, "<p>copy</p>")] * 3000
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert html.learn(pages, train_pages=100) is None
+    assert 10 < len(seen) <= 200 and len(set(seen)) == len(seen)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = html.Labeller()
