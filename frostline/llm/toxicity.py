@@ -18,8 +18,10 @@ and `ORDINARY_WINDOWS` windows, and the five figures of each training document.
 Scoring reads every whole text once and shuffles nothing.
 
 Edge cases: a null or empty text has no windows and gets the calibrated score of
-none; without toxic or without ordinary labels, every score is 0; rows are scored
-one by one, so copies score alike.
+none; without toxic or without ordinary labels, every score is 0; an id with labels
+of both kinds teaches nothing; rows are scored one by one, so copies score alike;
+texts of any length are scored whole; an empty table gives no rows. `score` carries
+all columns and replaces one named `score`.
 """
 
 from __future__ import annotations
@@ -191,7 +193,9 @@ def _marks(rows: DataFrame, per_class: dict[int, int]) -> list[tuple[str, int]]:
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic (rows that may be learned from)."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    # an id with labels of both kinds teaches nothing
+    known = known.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("other"))
+    known = known.filter("toxic = other").select("doc_id", "toxic")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model()
@@ -200,7 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     limit = F.when(F.col("toxic") == 1, int(1_000_000 * share[1])).otherwise(int(1_000_000 * share[0]))
     # bounded by train_rows of each class
     picked = F.broadcast(known.filter(order < limit))
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(picked, "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).join(picked, "doc_id")
+    rows = common.bounded(rows.select("doc_id", "text", "toxic"), 2 * train_rows, "doc_id", "text", "toxic")
     low = F.translate(F.lower("text"), ".,", "  ")
     words = rows.select("toxic", "doc_id", F.split(F.trim(low), r"\s+").alias("words"))
     per_class = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
