@@ -30,7 +30,7 @@ CONFIG = DecisionConfig(thresholds=fixture.FIXTURE_THRESHOLDS)
 
 # splits every fixture device into many pieces, so that the plan for very long
 # series is held against the same SQL as the plain one
-MANY_PIECES = SplitPolicy(max_rows=90)
+MANY_PIECES = SplitPolicy(max_rows=90, max_pieces=64)
 
 # few rounds keep the registered training queries short, and their results say
 # so in `rounds` and `depth`; the library default is the published 300 and 400
