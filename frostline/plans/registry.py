@@ -984,12 +984,12 @@ _register(
         FROM decided GROUP BY "Device_ID", operational_label QUALIFY place <= 3)""",
 )
 # more labels than the sketches track, so that some devices need the full count
-_OPEN_LABEL = F.concat_ws("/", F.col("operational_label"), F.floor(F.col("score_geo") * 50).cast("string"))
+_OPEN_LABEL = "concat_ws('/', operational_label, CAST(floor(score_geo * 50) AS STRING))"
 _register(
     "frequent_labels",
     _on_decided(
         lambda df: sketched.frequent_labels(
-            materialise(df.withColumn("operational_label", _OPEN_LABEL)), tracked=64
+            materialise(df.withColumn("operational_label", F.expr(_OPEN_LABEL))), tracked=64
         )
     ),
     exact(S.DEVICE, "operational_label", "count", "place"),
