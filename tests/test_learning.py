@@ -175,3 +175,14 @@ def test_baselines_end_to_end(spark, sf_dir):
     assert set(areas) == {"isolation", "fusion"} and all(0 <= a <= 1 for a in areas.values())
     without = replace_posture(telemetry, rollups.posture_from_telemetry(telemetry), cvss_column="cvss_mean")
     assert without.where("cvss_used IS NULL OR epss_used IS NULL OR dvd_used IS NULL").count() == 0
+
+
+def test_training_partitions_stay_small_however_large_the_table(spark, tmp_path):
+    """One small file of repetitive rows is not one partition of tree points."""
+    spark.range(5000).select((F.col("id") % 2).alias("y"), F.lit(1.5).alias("x")).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert rows.rdd.getNumPartitions() == 1
+    parts = boost.spread(rows, 400).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 13 and max(r["count"] for r in parts) <= 450
+    assert sum(r["count"] for r in parts) == 5000
+    assert boost.spread(rows, 5000).rdd.getNumPartitions() == 1
