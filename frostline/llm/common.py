@@ -98,6 +98,25 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
         row = stop
 
 
+def wide_blocks(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Blocks of `text_blocks` over batches that were put together, up to `limit`
+    bytes or one batch."""
+
+    def blocks(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in pa.Table.from_batches(some).combine_chunks().to_batches():
+            yield from text_blocks(whole, column, limit)
+
+    waiting, size = [], 0
+    for batch in batches:
+        if waiting and size + batch.column(column).nbytes > limit:
+            yield from blocks(waiting)
+            waiting, size = [], 0
+        waiting.append(batch)
+        size += batch.column(column).nbytes
+    if waiting:
+        yield from blocks(waiting)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, and where each text starts and ends in
     them. Null counts as empty."""

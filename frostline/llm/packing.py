@@ -33,6 +33,8 @@ from frostline.llm import common
 from frostline.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, part int, rank long"
+# the more text at once, the fewer distinct pieces to look up for its size
+TOKENIZED_BYTES = 8 << 20
 RANGES = "length int, low long, high long, sequence_base long, offset long"
 
 
@@ -121,19 +123,18 @@ def ranges(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     tokenizer, part, seen = encoder(vocabulary, end_id), TaskContext.get().partitionId(), Counter()
-    for batch in batches:
-        for block in common.text_blocks(batch):
-            rows = defaultdict(list)
-            encoded = tokenizer.encode(block.column("text").to_pylist())
-            for doc_id, ids in zip(block.column("doc_id").to_pylist(), encoded, strict=True):
-                for piece, (start, length) in enumerate(cut(len(ids) // 4, size)):
-                    own = np.frombuffer(ids, "<u4", length, 4 * start)
-                    crc = zlib.crc32(own)
-                    row = (doc_id, piece, start, length, own.astype("<u2").tobytes(), crc, part, seen[length])
-                    for k, v in zip(_ARROW.names, row, strict=True):
-                        rows[k].append(v)
-                    seen[length] += 1
-            yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
+    for block in common.wide_blocks(batches, TOKENIZED_BYTES):
+        rows = defaultdict(list)
+        encoded = tokenizer.encode(block.column("text").to_pylist())
+        for doc_id, ids in zip(block.column("doc_id").to_pylist(), encoded, strict=True):
+            for piece, (start, length) in enumerate(cut(len(ids) // 4, size)):
+                own = np.frombuffer(ids, "<u4", length, 4 * start)
+                crc = zlib.crc32(own)
+                row = (doc_id, piece, start, length, own.astype("<u2").tobytes(), crc, part, seen[length])
+                for k, v in zip(_ARROW.names, row, strict=True):
+                    rows[k].append(v)
+                seen[length] += 1
+        yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
 
 
 _ARROW = pa.schema(

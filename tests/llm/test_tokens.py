@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from frostline.llm import common, token_codes
-from frostline.llm.tokens import Encoder
+from frostline.llm.tokens import TOGETHER, Encoder
 
 TEXTS = [
     "a  b", "a   b x..y", "\n\n a\tb", "Don't  stop.\n \nIt's 3.14,5 '' .. ,", " x", "x ", "", None, "Σας ΟΔΟΣ. é é ́x",
@@ -83,3 +83,20 @@ def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     token_codes.write_codes(docs, path, "word_bpe_49k.json", 2)
     assert token_codes.read_documents(spark, path).count() == 0
+
+
+def test_a_block_looks_up_each_distinct_piece_once(monkeypatch):
+    """Signs and line feeds make no pieces of their own with the words beside
+    them, and new words share calls."""
+    words = ["alpha", "beta", "gamma"]
+    texts = ["\n".join(f"{a}, {b}***" for a in words) + f" {b}.\n{a}" for a in words for b in words for _ in range(20)]
+    encoder = Encoder("byte_bpe_50k.json", 0)
+    found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert found == library_ids("byte_bpe_50k.json", 0, texts)
+    assert not any(b"\n" in x.strip(b"\x02\n") for x in encoder.memory)
+    calls = []
+    monkeypatch.setattr(encoder, "_ids", lambda text, own=encoder._ids: calls.append(text) or own(text))
+    new = [f"word{k}x" for k in range(TOGETHER)]
+    found = encoder.encode([" ".join(["alpha", *new])])
+    assert np.frombuffer(found[0], "<u4").tolist() == library_ids("byte_bpe_50k.json", 0, [" ".join(["alpha", *new])])[0]
+    assert len(calls) == 1 and sorted(calls[0].split()) == sorted(new)
