@@ -43,6 +43,19 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return found
 
 
+def written_in_turns(turns: Iterator[DataFrame], label: str) -> DataFrame:
+    """Tables of one schema as one written table. The shuffle files of a turn can
+    go before the next one begins."""
+    path = None
+    for turn in turns:
+        path = path or new_path(turn.sparkSession, label)
+        turn.write.mode("append").parquet(path)
+        release(turn)
+    found = turn.sparkSession.read.schema(turn.schema).parquet(path)
+    found.frostline_path = path
+    return found
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of `written` that nothing reads any more."""
     for table in tables:

@@ -58,6 +58,7 @@ from frostline.llm.rows import partial_rows
 FRAGMENTS = 8
 HUB_ROUNDS = 3
 PEELS = 4
+PEEL_AGAIN = 0.9
 PASSES = 4
 FILTER_WORDS = 1 << 15
 SMALLEST_CLASS, CLASS_RATIO = 8, 1.5
@@ -206,28 +207,33 @@ def _fragments(size: int):
     return run
 
 
-def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those that sizes and parities allow."""
-
-    def side(name: str) -> DataFrame:
-        return sketches.select(
-            F.col("class").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("n", "fine", "coarse"))
-        )
+def _parities_allow(percent: int) -> Column:
+    """Of classes a and b (n_a, fine_a, coarse_a, ...): do they differ in no more
+    cells than similar sets can."""
 
     def bits(name: str, other: str) -> Column:
         # sizes that are near enough have equal numbers of cells or twice as many
         finer = F.size(f"fine_{name}") > F.size(f"fine_{other}")
         return F.when(finer, F.col(f"coarse_{name}")).otherwise(F.col(f"fine_{name}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
     different = F.aggregate(
         F.zip_with(bits("a", "b"), bits("b", "a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0),
         lambda n, x: n + x,
     )
-    sizes = F.col("n_a") + F.col("n_b")
-    near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    return both.filter(near & (different * (100 + percent) <= (100 - percent) * sizes)).select("a", "b")
+    return different * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those that sizes and parities allow."""
+
+    def side(name: str) -> DataFrame:
+        return sketches.select(
+            F.col("class").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("n", "fine", "coarse"))
+        )
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(_near(F.col("n_a"), F.col("n_b"), percent) & _parities_allow(percent)).select("a", "b")
 
 
 def linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -343,13 +349,16 @@ def _enough(grams: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def across_components(grams: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def across_components(grams: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes in different components that may be linked.
-    grams: class, n, part, grams; labels: class, label."""
+    grams: class, n, part, grams; labels: class, label; sketches: class, fine,
+    coarse, one row per class. Near copies that are not linked share most of their
+    shingles, so the pairs that meet are held against the parities where they
+    meet, and only those that may be linked leave the join."""
     enough = _enough(grams, labels, percent)
     held = grams.join(enough, "class").join(labels, "class")
     held = common.written(held.select("class", "label", "n", F.explode("grams").alias("gram")), "held")
-    rows = None
+    rows = held.count()
     for _ in range(PEELS):
         crossing = held.groupBy("gram").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders")
@@ -359,20 +368,23 @@ def across_components(grams: DataFrame, labels: DataFrame, percent: int) -> Data
         shared = kept.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("of"))
         shared = shared.filter(F.col("shared") * 100 >= F.col("of") * percent).select("class", "shared")
         kept = common.written(kept.join(shared, "class"), "held")
-        common.drop(held)
+        del crossing, shared
+        common.discard(held)
         held, before, rows = kept, rows, kept.count()
-        if rows in (0, before):
-            # nothing is left, or nothing went
+        if not rows or rows > before * PEEL_AGAIN:
+            # nothing is left, or too little went to pay for another turn
             break
     common.drop(enough)
     # of the shared ones so many can be missing that one of the first is common
     place = F.row_number().over(Window.partitionBy("class").orderBy("holders", "gram"))
     needed = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     prefix = held.withColumn("place", place).filter(F.col("place") <= F.col("shared") - needed + 1)
-    prefix = common.written(prefix.select("gram", "class", "label", "n", "shared", "place"), "prefix")
+    prefix = prefix.join(sketches.select("class", "fine", "coarse"), "class")
+    columns = ("class", "label", "n", "shared", "place", "fine", "coarse")
+    prefix = common.written(prefix.select("gram", *columns), "prefix")
 
     def side(name: str) -> DataFrame:
-        return prefix.select("gram", *(F.col(x).alias(f"{x}_{name}") for x in ("class", "label", "n", "shared", "place")))
+        return prefix.select("gram", *(F.col(x).alias(f"{x}_{name}") for x in columns))
 
     # what may follow a common place
     left = F.least(F.col("shared_a") - F.col("place_a"), F.col("shared_b") - F.col("place_b")) + F.least("place_a", "place_b")
@@ -381,6 +393,7 @@ def across_components(grams: DataFrame, labels: DataFrame, percent: int) -> Data
         (F.col("label_a") < F.col("label_b"))
         & _near(F.col("n_a"), F.col("n_b"), percent)
         & (left * (100 + percent) >= total * percent)
+        & _parities_allow(percent)
     )
     pairs = met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
     pairs = common.written(pairs, "pairs")
@@ -424,7 +437,7 @@ def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, perce
         if number == HUB_ROUNDS:
             some = common.written(here.select("class", "label").distinct(), "some")
             grams = _grams(docs, classes, some.select("class"), size)
-            pairs = across_components(grams, some, percent)
+            pairs = across_components(grams, some, classes, percent)
             common.discard(grams, some)
         else:
             pairs = here.filter((F.col("label") != F.col("hub_label")) & _near(F.col("n"), F.col("hub_n"), percent))
@@ -442,11 +455,17 @@ def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, perce
 
 
 def _members(sketches: DataFrame) -> DataFrame:
-    """(sign, class) of the signatures that two classes or more share."""
-    signed = sketches.select("class", F.explode("signs").alias("sign")).repartition("sign")
+    """(sign, class) of the signatures that two classes or more share. No more
+    than a share of the signatures is shuffled at once."""
     by_sign = Window.partitionBy("sign")
-    signed = signed.withColumns({"low": F.min("class").over(by_sign), "high": F.max("class").over(by_sign)})
-    return common.written(signed.filter("low <> high").select("sign", "class").distinct(), "members")
+
+    def share(turn: int) -> DataFrame:
+        signed = sketches.select("class", F.explode("signs").alias("sign"))
+        signed = signed.filter(F.pmod("sign", F.lit(PASSES)) == turn).repartition("sign")
+        signed = signed.withColumns({"low": F.min("class").over(by_sign), "high": F.max("class").over(by_sign)})
+        return signed.filter("low <> high").select("sign", "class").distinct()
+
+    return common.written_in_turns(map(share, range(PASSES)), "members")
 
 
 def _groups(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from frostline.llm import jaccard
+from frostline.llm import common, jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(x): chr(x + 32) for x in range(65, 91)})
@@ -83,3 +83,26 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     found = sorted((tuple(r) for r in jaccard.join_components(frame).collect()), key=str)
     assert found == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3), (None, 0, None), (None, 2, 1)]
     assert jaccard.join_components(frame.limit(0)).count() == 0
+
+
+def test_near_copies_that_are_not_linked_leave_few_pairs(spark):
+    """They meet in most of their shingles; what leaves the join was held against
+    the parities there."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))[:147]
+    rows, known, sets = [], [], []
+    for number in range(60):
+        away = [(at + k) % 147 for at in rng.choice(147, 2, replace=False) for k in range(4)]
+        added = rng.integers(0, 2**63, len({*away}), dtype=np.uint64)
+        own = np.unique(np.concatenate([np.delete(base, away), added]))
+        sets.append({*own.tolist()})
+        fine, coarse = (x.tolist() for x in jaccard.parities(own))
+        known.append((number, len(own), fine, coarse))
+        rows += [(number, len(own), part, own[part::8].astype(np.int64).tolist()) for part in range(8)]
+    grams = common.written(spark.createDataFrame(rows, "class long, n long, part int, grams array<long>"), "grams")
+    labels = spark.createDataFrame([(k, k) for k in range(60)], "class long, label long")
+    sketches = spark.createDataFrame(known, "class long, n long, fine array<long>, coarse array<long>")
+    found = {tuple(r) for r in jaccard.across_components(grams, labels, sketches, 85).collect()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(60) for a in range(b)}
+    assert {k for k, x in share.items() if x >= 0.85} <= found
+    assert len(found) < len(share) / 8
