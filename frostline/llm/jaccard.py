@@ -26,13 +26,19 @@ components, and only signatures whose members still lie in several components
 are looked at again, with another hub. A group of copies thus costs one comparison
 per member and round, not one per pair.
 
-The rest. After `HUB_ROUNDS` rounds, only a link across components matters, and
-all shingles of its intersection are held in two components or more. So a class
-of n shingles needs p n / 100 such shingles; classes that have fewer lose no link
-and go, which can leave other shingles in one component only, and so on (up to
-`PEELS` times). Texts that share passages and differ elsewhere go at once. What stays meets in the
-prefix of its crossing shingles, the rarest first, and these pairs are compared
-one by one, so no link that would join two components is lost.
+The rest. After `HUB_ROUNDS` rounds, only a link across components matters. In
+signatures of up to `MET_MEMBERS` classes and `MET_BITS` shingles, members of
+different components are held against each other's parities, signature by
+signature: a row of a class and signature costs at most so many comparisons of
+bits, and no shingle is written or shuffled for it. Pairs that pass are verified.
+
+Larger signatures. All shingles of the intersection of a link across components
+are held in two components or more. So a class of n shingles needs p n / 100 such
+shingles; classes that have fewer lose no link and go, which can leave other
+shingles in one component only, and so on (up to `PEELS` times). Texts that share
+passages and differ elsewhere go at once. What stays meets in the prefix of its
+crossing shingles, the rarest first, and these pairs are compared one by one, so
+no link that would join two components is lost.
 
 Components come from repeated minimum labels with pointer jumping on written
 tables. Nothing about documents is gathered on the driver.
@@ -63,6 +69,8 @@ PASSES = 4
 FILTER_WORDS = 1 << 15
 SMALLEST_CLASS, CLASS_RATIO = 8, 1.5
 LEAST_CELLS = 1024
+MET_MEMBERS, MET_BITS = 1 << 12, 1 << 27
+MET_WORDS = 1 << 18
 
 _IS_WORD = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
 _FOLD = np.array([x + 32 if 0x41 <= x <= 0x5A else x for x in range(256)], np.uint8)
@@ -224,6 +232,88 @@ def _parities_allow(percent: int) -> Column:
     return different * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
+def _met_in_group(
+    fine: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the members of one signature, pair by pair, that have different
+    labels and that sizes and parities allow."""
+    words = np.array([len(x) for x in fine])
+    for width in np.unique(words):
+        # sizes that are near enough have equal numbers of cells or twice as many
+        own, finer = np.flatnonzero(words == width), np.flatnonzero(words == 2 * width)
+        bits = [np.stack([fine[x] for x in own])]
+        if len(finer):
+            wide = np.stack([fine[x] for x in finer])
+            bits.append(wide[:, :width] ^ wide[:, width:])
+        bits, at = np.concatenate(bits), np.concatenate((own, finer))
+        step = max(1, MET_WORDS // bits.size)
+        for first in range(0, len(own), step):
+            stop = min(first + step, len(own))
+            one, other = at[first:stop], at[first + 1 :]
+            different = np.bitwise_count(bits[first:stop, None] ^ bits[None, first + 1 :]).sum(2, np.int64)
+            small, large = np.minimum(n[one, None], n[other]), np.maximum(n[one, None], n[other])
+            likely = different * (100 + percent) <= (100 - percent) * (small + large)
+            likely &= (small * 100 >= large * percent) & (label[one, None] != label[other])
+            # each pair once
+            likely &= np.arange(len(one))[:, None] <= np.arange(len(other))
+            x, y = np.nonzero(likely)
+            if len(x):
+                yield one[x], other[y]
+
+
+def _met(percent: int):
+    """Over rows (sign, class, label, n, fine) that are sorted by sign."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            sign, own, label, n = (table.column(x).to_numpy() for x in ("sign", "class", "label", "n"))
+            lists = table.column("fine").combine_chunks()
+            values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1], [True])))
+            a, b, held = [], [], 0
+            for first, last in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                fine = [values[ends[x] : ends[x + 1]] for x in range(first, last)]
+                for x, y in _met_in_group(fine, n[first:last], label[first:last], percent):
+                    a.append(own[first + x])
+                    b.append(own[first + y])
+                    held += len(x)
+                    if held >= MET_WORDS:
+                        yield sent(a, b)
+                        a, b, held = [], [], 0
+            if a:
+                yield sent(a, b)
+
+        def sent(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.sort(np.stack([np.concatenate(a), np.concatenate(b)]), 0)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["a", "b"])
+
+        waiting = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([waiting, rows]) if waiting is not None else rows
+            sign = rows.column("sign").to_numpy()
+            # the last signature may go on in the next batch
+            whole = int(np.searchsorted(sign, sign[-1])) if len(sign) else 0
+            if whole:
+                yield from pairs(rows.slice(0, whole).combine_chunks())
+            waiting = rows.slice(whole)
+        if waiting is not None and len(waiting):
+            yield from pairs(waiting.combine_chunks())
+
+    return run
+
+
+def met_in_signatures(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The written pairs (a, b) of classes that share a signature, have different
+    labels and may be linked. members: sign, class, label, n."""
+    common.bounded_batches(members.sparkSession)
+    known = members.select("sign", "class", "label", "n").join(sketches.select("class", "fine"), "class")
+    ordered = known.repartition("sign").sortWithinPartitions("sign").select("sign", "class", "label", "n", "fine")
+    pairs = common.written(ordered.mapInArrow(_met(percent), "a long, b long").distinct(), "pairs")
+    common.release(pairs)
+    return pairs
+
+
 def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of classes, those that sizes and parities allow."""
 
@@ -403,8 +493,8 @@ def across_components(grams: DataFrame, labels: DataFrame, sketches: DataFrame,
 
 def _open_members(members: DataFrame, number: int) -> DataFrame:
     """Members (sign, class, label, n) of the signatures whose members have
-    several labels, with a hub per signature; of signatures with the same
-    members, one."""
+    several labels, with a hub per signature, its size and its largest n; of
+    signatures with the same members, one."""
     draw = F.xxhash64("class", F.lit(number))
     hashed = F.xxhash64("class", F.lit("members"))
     open_signs = members.groupBy("sign").agg(
@@ -412,13 +502,32 @@ def _open_members(members: DataFrame, number: int) -> DataFrame:
         F.max("label").alias("high"),
         F.count("*").alias("size"),
         F.bit_xor(hashed).alias("members"),
+        F.max("n").alias("widest"),
         F.min(F.struct(draw.alias("draw"), "class", "label", "n")).alias("hub"),
     )
-    open_signs = open_signs.filter("low <> high").groupBy("hub", "size", "members").agg(F.min("sign").alias("sign"))
-    open_signs = open_signs.select("sign", *(F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("class", "label", "n")))
+    open_signs = open_signs.filter("low <> high").groupBy("hub", "size", "widest", "members").agg(F.min("sign").alias("sign"))
+    hub = (F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("class", "label", "n"))
+    open_signs = open_signs.select("sign", "size", "widest", *hub)
     return members.join(open_signs, "sign")
 
 
+def _last_pairs(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
+    """The written pairs (a, b) of classes in different components that may be
+    linked, from open members."""
+    few = (F.col("size") <= MET_MEMBERS) & (F.col("size") * F.col("widest") <= MET_BITS)
+    pairs = met_in_signatures(members.filter(few), classes, percent)
+    some = common.written(members.filter(~few).select("class", "label").distinct(), "some")
+    if not some.isEmpty():
+        grams = _grams(docs, classes, some.select("class"), size)
+        more = across_components(grams, some, classes, percent)
+        common.discard(grams)
+        both = common.written(pairs.unionByName(more).distinct(), "pairs")
+        common.drop(pairs, more)
+        pairs = both
+    common.drop(some)
+    return pairs
+
+
 def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """(class, label) for all classes in `members` (sign, class). Every round
     goes on with the signatures whose members still have several labels."""
@@ -435,10 +544,7 @@ def _class_labels(docs: DataFrame, members: DataFrame, classes: DataFrame, perce
         if here.isEmpty():
             break
         if number == HUB_ROUNDS:
-            some = common.written(here.select("class", "label").distinct(), "some")
-            grams = _grams(docs, classes, some.select("class"), size)
-            pairs = across_components(grams, some, classes, percent)
-            common.discard(grams, some)
+            pairs = _last_pairs(docs, here, classes, percent, size)
         else:
             pairs = here.filter((F.col("label") != F.col("hub_label")) & _near(F.col("n"), F.col("hub_n"), percent))
             pairs = pairs.select(F.least("class", "hub_class").alias("a"), F.greatest("class", "hub_class").alias("b"))

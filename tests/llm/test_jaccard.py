@@ -106,3 +106,36 @@ def test_near_copies_that_are_not_linked_leave_few_pairs(spark):
     share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(60) for a in range(b)}
     assert {k for k, x in share.items() if x >= 0.85} <= found
     assert len(found) < len(share) / 8
+
+
+def test_members_of_signatures_meet_once_and_none_is_lost():
+    """Sets with 1024, 2048 and 4096 cells, some within one label."""
+    rng, sets = np.random.default_rng(8), []
+    for size in (300, 1000, 1030, 2000, 2060):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        sets += [np.unique(base[: int(size * (1 - 0.02 * k))]) for k in range(12)]
+    fine = [jaccard.parities(x)[0].view(np.uint64) for x in sets]
+    n, label = np.array([len(x) for x in sets]), np.arange(len(sets)) // 2
+    found = [tuple(sorted(p)) for x, y in jaccard._met_in_group(fine, n, label, 85) for p in zip(x.tolist(), y.tolist())]
+    assert len(found) == len({*found})
+    for b in range(len(sets)):
+        for a in range(b):
+            same = len(np.intersect1d(sets[a], sets[b]))
+            linked = 100 * same >= 85 * (n[a] + n[b] - same) and label[a] != label[b]
+            assert not linked or (a, b) in found
+    assert all(label[a] != label[b] for a, b in found) and len(found) < 400
+
+
+@pytest.mark.parametrize("members", [1 << 12, 2])
+def test_no_shingle_is_shuffled_for_signatures_of_bounded_size(spark, monkeypatch, members):
+    """One round with hubs leaves links to the last step; only signatures with
+    more members than the limit write their shingles."""
+    across, calls = jaccard.across_components, []
+    monkeypatch.setattr(jaccard, "across_components", lambda *x: calls.append(x) or across(*x))
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "MET_MEMBERS", members, raising=False)
+    docs = near_copies(7, True)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = jaccard.join_components(frame).collect()
+    assert sorted(tuple(r) for r in found) == brute(docs, 85, 4)
+    assert bool(calls) == (members == 2)
