@@ -1,12 +1,14 @@
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from frostline import settings as S
 from frostline.operators import decisions
-from frostline.operators.decisions import decide
+from frostline.operators.decisions import decide, decide_laid_out
+from frostline.operators.series import SplitPolicy, lay_out
 from frostline.settings import DecisionConfig, RiskPolicy, Thresholds
 
 COLUMNS = (
@@ -108,3 +110,22 @@ def test_ablation_keeps_the_base_unclipped(spark):
 def test_combined_risk_of_published_device_days(spark, cvss, epss, dvd, risk):
     row = decide(_rows(spark, [dict(cvss=cvss, epss=epss, dvd=dvd)]), CONFIG).first()
     assert row["risk_score_combined"] == pytest.approx(risk, abs=1e-12)
+
+
+@pytest.mark.parametrize("policy", [SplitPolicy(), SplitPolicy(max_rows=40), SplitPolicy(max_rows=2)])
+def test_decisions_on_rows_laid_out_already(spark, policy):
+    rng = np.random.default_rng(4)
+    kinds = ("temp", "geo", "tamper", "attack")
+    rows = [
+        {k: float(rng.random() < 0.8) for k in kinds}
+        | {"device": "ABC"[min(int(rng.integers(0, 6)), 2)], "cvss": float(rng.integers(6, 10)), "reported": int(rng.random() < 0.1)}
+        for _ in range(300)
+    ]
+    df = _rows(spark, rows)
+    g = lay_out(df, [S.DEVICE], (S.RECEIVED, S.ROW_ID), policy=policy)
+    assert g.split == (policy.max_rows < 300)
+    found, expected = decide_laid_out(g.own_rows(*df.columns), CONFIG), decide(df, CONFIG)
+    assert found.columns == expected.columns
+    assert sorted(found.collect()) == sorted(expected.collect())
+    held = expected.agg(*[F.sum(f"pred_{k}_bin") for k in kinds]).first()
+    assert all(0 < n < 300 for n in held)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline import settings as S
-from frostline.operators import evaluate, rollups, split
+from frostline.operators import evaluate, rollups, series, split
 from frostline.operators.learning import boost
 from frostline.operators.learning.forest import ForestPolicy, exact_quantile, fit_forest, mean_path
 from frostline.operators.learning.fusion import fit_fusion
@@ -107,6 +107,32 @@ def test_whole_alert_run(spark, sf_dir, trained, tmp_path):
     assert all(0.0 <= c <= 1.0 for c in (cuts.temp, cuts.geo, cuts.tamper, cuts.attack_sup_base))
 
 
+def test_a_run_lays_its_reports_out_once(spark, trained, monkeypatch):
+    """Long series are cut once to train and once to alert, with the results of
+    whole ones."""
+    telemetry = to_spark(spark, random_telemetry(400, 3, seed=8))
+    posture = telemetry.groupBy(S.DEVICE).agg(*[F.max(c).alias(c) for c in S.POSTURE_MEASURES])
+    cuts, cut = [], series._cut
+    monkeypatch.setattr(series, "_cut", lambda df, *rest: cuts.append(1) or cut(df, *rest))
+    short = SplitPolicy(max_rows=60)
+
+    def same(whole, pieces):
+        assert whole.columns == pieces.columns
+        one, two = (df.orderBy("event_id").toPandas() for df in (whole, pieces))
+        for c in one:
+            if one[c].dtype.kind == "f":
+                np.testing.assert_allclose(one[c], two[c], rtol=1e-9, atol=1e-9)
+            else:
+                assert one[c].equals(two[c]), c
+
+    same(runs.training_rows(telemetry), runs.training_rows(telemetry, series=short))
+    assert len(cuts) == 1
+    same(runs.training_rows(telemetry, three=True), runs.training_rows(telemetry, three=True, series=short))
+    assert len(cuts) == 2
+    same(runs.alert(telemetry, posture, trained).decided, runs.alert(telemetry, posture, trained, series=short).decided)
+    assert len(cuts) == 3
+
+
 def test_run_from_files(spark, sf_dir, tmp_path):
     telemetry = str(tmp_path / "telemetry")
     fixture.telemetry(spark, sf_dir).drop("event_id").write.csv(telemetry, header=True)
